@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitfold.llm import bpe, simhash
+from splitfold.llm import bpe, decontaminate, rules, simhash
 from splitfold.llm.common import table
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -23,7 +32,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_rules": op4_rules,
+    "op5_decontaminate": op5_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_rules": rules.SQL, "op5_decontaminate": decontaminate.SQL}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from splitfold.llm import bpe, decontaminate, rules, simhash
-from splitfold.llm.common import table
+from splitfold.llm import bpe, decontaminate, langid, rules, simhash, toxicity
+from splitfold.llm.common import held_out, table
 
 
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", held_out().alias("held_out"), toxicity.score("text", model).alias("r"))
+    return found.select("doc_id", "held_out", "r.score", (F.col("r.score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -31,10 +39,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("r")).select("doc_id", "r.*")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", held_out().alias("held_out"), langid.predict("text", langid.train(docs)).alias("r"))
+    return found.select("doc_id", "held_out", "r.lang_pred", "r.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rules": op4_rules,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
+    "op10_language": op10_language,
 }
 ORACLE: dict[str, str] = {"op4_rules": rules.SQL, "op5_decontaminate": decontaminate.SQL}

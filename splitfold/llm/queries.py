@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.llm import bpe, decontaminate, langid, rules, simhash, toxicity
+from splitfold.llm import bpe, decontaminate, langid, quality, rules, simhash, toxicity
 from splitfold.llm.common import held_out, table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", held_out().alias("held_out"), quality.score("text", model).alias("r"))
+    return found.select("doc_id", "held_out", "r.score", (F.col("r.score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -46,6 +53,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_rules": op4_rules,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,

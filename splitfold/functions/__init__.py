@@ -1,0 +1,11 @@
+"""Scalar functions are Spark SQL's own: step SQL is passed to Catalyst as it is. FAMILIES names those that the tests cover."""
+
+FAMILIES = {
+    "string": ["upper", "lower", "trim", "length", "substring", "concat", "replace", "split_part", "lpad", "regexp_replace", "startswith"],
+    "date": ["date_trunc", "extract", "to_date", "date_add", "datediff"],
+    "math": ["abs", "ceil", "floor", "round", "sqrt", "exp", "ln", "log10", "power", "sin"],
+    "conditional": ["case", "coalesce", "nullif", "greatest", "least"],
+    "hash": ["md5", "sha2"],
+    "nested": ["size", "element_at", "get_json_object"],
+    "cast": ["cast", "try_cast"],
+}

@@ -26,3 +26,15 @@ def ship(spark: SparkSession) -> None:
                 out.write(full, os.path.relpath(full, os.path.dirname(_ROOT)))
     spark.sparkContext.addPyFile(path)
     _sent[app] = path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the cluster's own, or a temporary one in local mode."""
+    sc = spark.sparkContext
+    if (known := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return known.get()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="splitfold-"))
+    return sc._jsc.sc().getCheckpointDir().get()

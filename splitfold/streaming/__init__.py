@@ -1,0 +1 @@
+"""Queries are over bounded tables; there are no unbounded streams here."""

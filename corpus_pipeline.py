@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from splitfold.llm import bpe, common, decontaminate, pii, simhash, toxicity
-from splitfold.shipping import ship
+from splitfold.shipping import shared_folder, ship
 
 #: SQL can express neither the learned toxicity model nor the fingerprints.
 ORACLE_SQL = None
@@ -58,7 +58,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splitfold.shipping import ship
+
 KINDS = ["message", "edit", "regenerate", "delta", "delete"]
 ASSISTANT = "assistant"
 _RAW = re.compile(r"([<\[])(\\*)(/?(?:s>|INST\]))")
@@ -89,6 +91,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
             spans = [[{"start": a, "end": b} for a, b in s] for _, s in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in made], pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["conv_id", "formatted", "loss_spans"])
 
+    ship(events.sparkSession)
     turns = messages(events).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", "role", "text", "message"))).alias("turns"))
     return turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>")
 
@@ -106,6 +109,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 rows.append({"conv_id": conv, "n_turns": len(turns), "turns_sha256": whole, "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(), "formatted_chars": len(text)})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
+    ship(formatted.sparkSession)
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.shipping import ship
+from splitfold.shipping import shared_folder, ship
 
 #: A model learns labels only from rows whose remainder isn't HELD_OUT.
 FOLDS, HELD_OUT = 5, 0
@@ -27,18 +26,6 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(rest == HELD_OUT, F.lit(True))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the cluster's own, or a temporary one in local mode."""
-    sc = spark.sparkContext
-    if (set_already := sc._jsc.sc().getCheckpointDir()).isDefined():
-        return set_already.get()
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="splitfold-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df written to the cluster's shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitfold.llm.common import cut, held_out, scored
+from splitfold.shipping import ship
 
 #: Hashed n-grams; labelled rows of each language that weights are fitted on, and languages, at most.
 DIMENSIONS, NGRAMS, PER_LANGUAGE, MAX_LANGUAGES = 1 << 16, (1, 2, 3), 800, 256
@@ -81,6 +82,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """IDF of each hashed n-gram over all rows of texts (text); DIMENSIONS numbers reach the driver, whatever the input."""
+    ship(texts.sparkSession)
     rows = texts.select("text").mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     df = {r.f: r.n for r in rows}
     total = df.get(-1, 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.llm import bpe, chat, decontaminate, langid, pii, quality, rules, simhash, toxicity
+from splitfold.llm import bpe, chat, decontaminate, langid, pii, quality, rules, simhash, substrings, toxicity
 from splitfold.llm.common import held_out, table
 
 
@@ -22,6 +22,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "r.score", (F.col("r.score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -66,6 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
     "op4_rules": op4_rules,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from splitfold.llm.common import cut
 from splitfold.llm.graph import components
+from splitfold.shipping import ship
 
 MAX_BITS, SHINGLE, SEED = 3, 3, 42
 MIN_BYTES = 8 - MAX_BITS
@@ -53,6 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
@@ -60,6 +62,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def postings(distinct: DataFrame) -> DataFrame:
     """(list, fp): each fingerprint once in each of the 56 lists; list holds the number of the positions and their bytes."""
 
+    ship(distinct.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)

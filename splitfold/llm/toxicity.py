@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitfold.llm.common import bounded_sample, cut, scored
+from splitfold.shipping import ship
 
 #: Labelled rows of each class that the model is fitted on, at most; and learned stems, at most.
 SAMPLE_PER_CLASS, MAX_STEMS = 3000, 400
@@ -192,6 +193,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learned_stems(sample: DataFrame) -> list[str]:
     """Stems of toxic documents in sample (text, label): the shortest that chance doesn't explain; at most MAX_STEMS."""
+    ship(sample.sparkSession)
     totals = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     n1, n0 = totals[0] or 0, totals[1] or 0
     if not n1 or not n0:

@@ -21,7 +21,7 @@ from splitfold.operators.views import fresh, over, quoted, viewed
 DIRECT, LATERAL, PER_SPLIT = "direct", "lateral", "per_split"
 MAX_SPLITS = 200
 #: Analysed nodes of a query without state.
-STATELESS = {"Project", "Filter", "SubqueryAlias"}
+STATELESS = {"Project", "Filter", "SubqueryAlias", "CTERelationDef"}
 UNSUPPORTED = "UNSUPPORTED_SUBQUERY_EXPRESSION_CATEGORY"
 
 
@@ -38,18 +38,14 @@ class MapStep:
         #: Columns that the query may read: those its text names, or all for a star.
         self.columns = {f.name for f in schema.fields if "*" in sql or f.name.lower() in text}
 
-    def _stateless(self, plan) -> bool:
-        node = plan
-        while True:
-            kind, children = node.getClass().getSimpleName(), node.children()
-            if kind in ("WithCTE", "UnresolvedWith"):
-                node = children.apply(0)
-            elif kind in ("View", "LogicalRDD", "LocalRelation", "CTERelationRef"):
-                return True
-            elif kind not in STATELESS or children.size() != 1:
-                return False
-            else:
-                node = children.apply(0)
+    def _stateless(self, node) -> bool:
+        """Whether the query, its common table expressions included, is made of projections and filters only."""
+        kind, children = node.getClass().getSimpleName(), node.children()
+        if kind == "WithCTE":
+            return all(self._stateless(children.apply(i)) for i in range(children.size()))
+        if kind in ("View", "LogicalRDD", "LocalRelation", "CTERelationRef"):
+            return True
+        return kind in STATELESS and children.size() == 1 and self._stateless(children.apply(0))
 
     def strategy(self, wanted: str | None = None) -> str:
         if wanted == DIRECT and not self.stateless:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,15 +58,20 @@ class CatalogTable(ABC):
 
 
 def file_uris(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Each path as Spark's _metadata.file_path gives it."""
+    """Each path as a URI; of a local file, with one slash after the scheme, as in file_uri()."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     out = []
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        out.append(path.getFileSystem(conf).makeQualified(path).toUri().toString())
+        out.append(re.sub("^file:/+", "file:/", path.getFileSystem(conf).makeQualified(path).toUri().toString()))
     return out
 
 
+def file_uri():
+    """The URI of the file that a row was read from."""
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+
+
 def check_footer(spark: SparkSession, path: str, expected: T.StructType) -> None:
     """Compares a file's fields with the expected ones by position: name and type. Extra trailing fields of either side pass."""
     found = spark.read.parquet(path).schema
@@ -87,7 +93,7 @@ def read_parquet(spark: SparkSession, kept: DataFrame, path_of, schema: T.Struct
         for p in paths:
             check_footer(spark, p, schema)
     uris = file_uris(spark, paths)
-    data = spark.read.schema(schema).parquet(*paths).select(*(F.col(f"`{c}`") for c in schema.names), F.col("_metadata.file_path").alias("__uri"))
+    data = spark.read.schema(schema).parquet(*paths).select(*(F.col(f"`{c}`") for c in schema.names), file_uri().alias("__uri"))
     splits = [split_of(r) for r in rows]
     listed = [(u, s, *(r[c] for c in partition_columns)) for u, s, r in zip(uris, splits, rows, strict=True)]
     table = spark.createDataFrame(listed, T.StructType([T.StructField("__uri", T.StringType()), T.StructField(sid, T.StringType()), *fields]))

@@ -55,11 +55,15 @@ class DeltaCatalog(CatalogTable):
         return snapshot.unionByName(commits.where(F.col("version") > at))
 
     def _last_checkpoint(self, log: str) -> tuple[int, int] | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{log}/_last_checkpoint")
-        if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{log}/_last_checkpoint")
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(path):
             return None
-        row = self.spark.read.schema("version bigint, parts int").json(path.toString()).first()
-        return row.version, row.parts or 0
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path)))  # Spark's readers skip names that start with _
+        row = json.loads(lines.readLine())
+        lines.close()
+        return row["version"], row.get("parts") or 0
 
     def _replay(self, actions: DataFrame) -> DataFrame:
         path = F.coalesce("add.path", "remove.path")

@@ -168,13 +168,13 @@ _add("staged_where_string_range", "orders", "SELECT o_orderkey FROM t WHERE o_or
 _add("staged_predicates", "part", "SELECT p_partkey FROM t WHERE (p_size BETWEEN 3 AND 9 OR p_type LIKE '%A%') AND NOT p_brand IN ('Brand#11', 'Brand#12') AND p_name IS NOT NULL", "SELECT count(*) AS n FROM m", "SELECT CAST(count(*) AS BIGINT) AS n FROM src WHERE (p_size BETWEEN 3 AND 9 OR p_type LIKE '%A%') AND NOT p_brand IN ('Brand#11', 'Brand#12') AND p_name IS NOT NULL")
 _add("staged_nested_with", "orders", "WITH big AS (SELECT * FROM t WHERE o_totalprice > 1000) SELECT o_orderstatus, count(*) AS n FROM (SELECT o_orderstatus FROM big) x GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(n) AS n FROM m GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM src WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
 _add("staged_stddev_corr", "lineitem", "SELECT l_returnflag, stddev_samp(l_quantity) AS d, corr(l_quantity, l_extendedprice) AS c FROM t GROUP BY l_returnflag", "SELECT l_returnflag, round(avg(d), 6) AS d, round(avg(c), 6) AS c FROM m GROUP BY l_returnflag", _m("SELECT sid, l_returnflag, stddev_samp(l_quantity) AS d, corr(l_quantity, l_extendedprice) AS c FROM src GROUP BY sid, l_returnflag", "SELECT l_returnflag, round(avg(d), 6) AS d, round(avg(c), 6) AS c FROM m GROUP BY l_returnflag"))
-_add("prune_eq", "orders", "SELECT o_orderstatus, count(*) AS n FROM t GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(n) AS n FROM m GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM src WHERE yr = '1994' GROUP BY o_orderstatus", partition_filter="yr = '1994'")
-_add("prune_range", "lineitem", "SELECT l_returnflag, sum(l_quantity) AS q FROM t GROUP BY l_returnflag", "SELECT l_returnflag, sum(q) AS q FROM m GROUP BY l_returnflag", "SELECT l_returnflag, sum(l_quantity) AS q FROM src WHERE yr >= '1993' AND yr <= '1995' GROUP BY l_returnflag", partition_filter="yr >= '1993' AND yr <= '1995'")
-_add("prune_in_or_like", "orders", "SELECT yr, count(*) AS n FROM t GROUP BY yr", "SELECT yr, n FROM m", "SELECT yr, CAST(count(*) AS BIGINT) AS n FROM src WHERE yr IN ('1992', '1996') OR yr LIKE '%7' GROUP BY yr", partition_filter="yr IN ('1992', '1996') OR yr LIKE '%7'")
+_add("prune_eq", "orders", "SELECT o_orderstatus, count(*) AS n FROM t GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(n) AS n FROM m GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM src WHERE yr = '1996' GROUP BY o_orderstatus", partition_filter="yr = '1996'")
+_add("prune_range", "lineitem", "SELECT l_returnflag, sum(l_quantity) AS q FROM t GROUP BY l_returnflag", "SELECT l_returnflag, sum(q) AS q FROM m GROUP BY l_returnflag", "SELECT l_returnflag, sum(l_quantity) AS q FROM src WHERE yr >= '1996' AND yr <= '1998' GROUP BY l_returnflag", partition_filter="yr >= '1996' AND yr <= '1998'")
+_add("prune_in_or_like", "orders", "SELECT yr, count(*) AS n FROM t GROUP BY yr", "SELECT yr, n FROM m", "SELECT yr, CAST(count(*) AS BIGINT) AS n FROM src WHERE yr IN ('1996', '1999') OR yr LIKE '%7' GROUP BY yr", partition_filter="yr IN ('1996', '1999') OR yr LIKE '%7'")
 _add("prune_by_length", "part", "SELECT brand, count(*) AS n FROM t GROUP BY brand", "SELECT brand, n FROM m", ", m AS (SELECT brand, count(*) AS n FROM src GROUP BY brand) SELECT brand, CAST(n AS BIGINT) AS n FROM m WHERE n >= 80", partition_filter="length >= 80")
-_add("prune_by_key", "orders", "SELECT yr, count(*) AS n FROM t GROUP BY yr", "SELECT yr, n FROM m", "SELECT yr, CAST(count(*) AS BIGINT) AS n FROM src WHERE yr = '1993' GROUP BY yr", partition_filter="key = '1993'")
+_add("prune_by_key", "orders", "SELECT yr, count(*) AS n FROM t GROUP BY yr", "SELECT yr, n FROM m", "SELECT yr, CAST(count(*) AS BIGINT) AS n FROM src WHERE yr = '1997' GROUP BY yr", partition_filter="key = '1997'")
 _add("prune_to_empty", "orders", "SELECT count(*) AS n FROM t", "SELECT sum(n) AS n FROM m", "SELECT CAST(count(*) AS BIGINT) AS n FROM src WHERE false HAVING false", partition_filter="yr = 'none'")
-_add("prune_then_group", "orders", "SELECT o_orderpriority, yr, count(*) AS n FROM t WHERE o_totalprice > 50000 GROUP BY o_orderpriority, yr", "SELECT o_orderpriority, sum(n) AS n, count(*) AS years FROM m GROUP BY o_orderpriority", "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT yr) AS BIGINT) AS years FROM src WHERE o_totalprice > 50000 AND yr > '1994' GROUP BY o_orderpriority", partition_filter="yr > '1994'")
+_add("prune_then_group", "orders", "SELECT o_orderpriority, yr, count(*) AS n FROM t WHERE o_totalprice > 50000 GROUP BY o_orderpriority, yr", "SELECT o_orderpriority, sum(n) AS n, count(*) AS years FROM m GROUP BY o_orderpriority", "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT yr) AS BIGINT) AS years FROM src WHERE o_totalprice > 50000 AND yr > '1997' GROUP BY o_orderpriority", partition_filter="yr > '1997'")
 _add("fn_string", "part", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, trim(concat('  ', p_brand, ' ')) AS b, length(p_name) AS n, substring(p_name, 2, 3) AS s, replace(p_brand, '#', '-') AS r, split_part(p_brand, '#', 2) AS sp, lpad(CAST(p_size AS STRING), 4, '0') AS pad, regexp_replace(p_brand, '[0-9]+', 'N') AS rx, startswith(p_name, 'a') AS st FROM t", "SELECT * FROM m", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, trim(concat('  ', p_brand, ' ')) AS b, CAST(length(p_name) AS INTEGER) AS n, substring(p_name, 2, 3) AS s, replace(p_brand, '#', '-') AS r, split_part(p_brand, '#', 2) AS sp, lpad(CAST(p_size AS VARCHAR), 4, '0') AS pad, regexp_replace(p_brand, '[0-9]+', 'N') AS rx, starts_with(p_name, 'a') AS st FROM src")
 _add("fn_date", "orders", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS mon, extract(YEAR FROM o_orderdate) AS y, extract(MONTH FROM o_orderdate) AS mo, date_add(to_date(o_orderdate), 10) AS later, datediff(to_date(o_orderdate), DATE '1992-01-01') AS days FROM t", "SELECT o_orderkey, CAST(mon AS STRING) AS mon, y, mo, CAST(later AS STRING) AS later, days FROM m", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') AS mon, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS mo, strftime(CAST(o_orderdate AS DATE) + 10, '%Y-%m-%d') AS later, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS INTEGER) AS days FROM src")
 _add("fn_math", "part", "SELECT p_partkey, abs(10 - p_size) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(sqrt(p_retailprice), 6) AS s, round(exp(p_size / 50), 6) AS e, round(ln(p_retailprice), 6) AS l, round(log10(p_retailprice), 6) AS g, round(power(p_size, 2), 3) AS p, round(sin(p_size), 6) AS sn, p_size % 7 AS md FROM t", "SELECT * FROM m", "SELECT p_partkey, abs(10 - p_size) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(sqrt(p_retailprice), 6) AS s, round(exp(p_size / 50), 6) AS e, round(ln(p_retailprice), 6) AS l, round(log10(p_retailprice), 6) AS g, round(power(p_size, 2), 3) AS p, round(sin(p_size), 6) AS sn, p_size % 7 AS md FROM src")

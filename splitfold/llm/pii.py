@@ -44,7 +44,7 @@ NEAR = {
 AGAINST = r"(?i)\b(?:version|v|release|build|isbn|issn|doi|order|invoice|sku|part|serial|page|pages|figure|table|id)\W{0,3}$"
 LABELERS = ["regex", "gazetteer", "near", "against", "edges"]
 #: Rounds of expectation-maximisation, and the weight of the prior counts.
-ROUNDS, SMOOTH = 25, 1.0
+ROUNDS, SMOOTH, MOST_PRIOR = 25, 1.0, 1.0
 
 
 def _matches(text: Column, kind: str, base: bool) -> Column:
@@ -116,6 +116,11 @@ def candidates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return cut(rows.withColumn("free", F.col("valid") | F.coalesce(free, F.lit(True))).where("kind IS NULL OR free").drop("free", "base"))
 
 
+def _bounded(odds: Column) -> Column:
+    """Prior log odds, at most MOST_PRIOR either way: the candidates that must be judged are rarer than those that base rules accept."""
+    return F.greatest(F.lit(-MOST_PRIOR), F.least(F.lit(MOST_PRIOR), odds))
+
+
 def reliabilities(spans: DataFrame) -> DataFrame:
     """(kind, votes, p): the posterior of each vote pattern by expectation-maximisation, in one row of each kind at first.
 
@@ -147,8 +152,9 @@ def reliabilities(spans: DataFrame) -> DataFrame:
                     every = total(lambda x, has=has: F.when(has(x), x["n"]).otherwise(0.0))
                     weights.append(F.struct((yes + SMOOTH * (1 + (v == 1))).alias("y"), (every - yes + SMOOTH * (1 + (v == 2))).alias("n")))
             yes, every = total(lambda x: x["yes"]), total(lambda x: x["n"])
-            w = [F.log(c["y"] / (yes + 4 * SMOOTH)) - F.log(c["n"] / (every - yes + 4 * SMOOTH)) for c in weights]
-            return F.struct(F.log((yes + SMOOTH) / (every - yes + SMOOTH)).alias("prior"), F.array(*w).alias("w"))
+            # An abstention is no evidence.
+            w = [F.lit(0.0) if j % 3 == 0 else F.log(c["y"] / (yes + 4 * SMOOTH)) - F.log(c["n"] / (every - yes + 4 * SMOOTH)) for j, c in enumerate(weights)]
+            return F.struct(_bounded(F.log((yes + SMOOTH) / (every - yes + SMOOTH))).alias("prior"), F.array(*w).alias("w"))
 
         return F.element_at(F.transform(F.array(soft), updated), 1)
 
@@ -164,11 +170,11 @@ def classifier(spans: DataFrame, posteriors: DataFrame) -> DataFrame:
     patterns = spans.where("kind IS NOT NULL").groupBy("kind", "votes", "shape").agg(F.count("*").cast("double").alias("n"))
     soft = cut(patterns.join(F.broadcast(posteriors), ["kind", "votes"]))
     features = F.array(*(F.concat(F.lit(f"{i}:"), F.substring("votes", i + 1, 1)) for i in range(len(LABELERS))), F.concat(F.lit("d:"), F.substring("shape", 1, 1)), F.concat(F.lit("l:"), F.substring("shape", 2, 1)))
-    long = soft.select("kind", "votes", "shape", "n", "p", F.explode(features).alias("f"))
+    long = soft.select("kind", "votes", "shape", "n", "p", F.explode(F.filter(features, lambda f: ~f.rlike("^[0-9]:0$"))).alias("f"))
     totals = soft.groupBy("kind").agg(F.sum(F.col("n") * F.col("p")).alias("ty"), F.sum(F.col("n") * (1 - F.col("p"))).alias("tn"))
     each = long.groupBy("kind", "f").agg(F.sum(F.col("n") * F.col("p")).alias("y"), F.sum(F.col("n") * (1 - F.col("p"))).alias("m"))
     odds = each.join(totals, "kind").select("kind", "f", (F.log((F.col("y") + SMOOTH) / (F.col("ty") + 3 * SMOOTH)) - F.log((F.col("m") + SMOOTH) / (F.col("tn") + 3 * SMOOTH))).alias("o"))
-    prior = totals.select("kind", F.log((F.col("ty") + SMOOTH) / (F.col("tn") + SMOOTH)).alias("prior"))
+    prior = totals.select("kind", _bounded(F.log((F.col("ty") + SMOOTH) / (F.col("tn") + SMOOTH))).alias("prior"))
     return long.join(odds, ["kind", "f"]).groupBy("kind", "votes", "shape").agg(F.sum("o").alias("o")).join(prior, "kind").select("kind", "votes", "shape", (F.col("o") + F.col("prior")).alias("score"))
 
 

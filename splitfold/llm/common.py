@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splitfold.shipping import shared_folder, ship
@@ -45,9 +46,24 @@ def scored(column: str | Column, schema: str, load: Callable[[], Callable[[pd.Se
     return run(F.col(column) if isinstance(column, str) else column)
 
 
+def sample_of_each(rows: DataFrame, column: str, most: int, salt: str, classes: int = 256) -> DataFrame:
+    """(doc_id, column): at most ``most`` ids of each value of column, by a hash of the id; of its ``classes`` commonest values.
+
+    Before anything is ranked, ids whose hash is so large that about twice as many come before them are left out, so the
+    rows that are ranked are bounded too, however large the input.
+    """
+    totals = rows.groupBy(column).count().orderBy(F.desc("count"), column).limit(classes).collect()
+    if not totals:
+        return rows.select("doc_id", column).limit(0)
+    whole = 1 << 30
+    h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(whole))
+    limits = F.create_map(*(F.lit(x) for r in totals for x in (r[column], min(whole, 1 + whole * 2 * most // r["count"]))))
+    few = rows.select("doc_id", column).where(h < limits[F.col(column)]).distinct()
+    place = F.row_number().over(W.partitionBy(column).orderBy(h, "doc_id"))
+    return few.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def bounded_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, label) of at most per_class learnable rows of each class, by a hash of the id: at most 2 * per_class rows."""
+    """(doc_id, label) of at most per_class learnable rows of each class; an id with both labels counts as 1."""
     rows = labels.where(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    pick = lambda k: rows.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class)
-    return pick(1).unionAll(pick(0))
+    return sample_of_each(rows, "label", per_class, "sample")

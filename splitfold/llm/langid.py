@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import cut, held_out, scored
+from splitfold.llm.common import cut, held_out, sample_of_each, scored
 from splitfold.shipping import ship
 
 #: Hashed n-grams; labelled rows of each language that weights are fitted on, and languages, at most.
@@ -128,15 +128,11 @@ def train(docs: DataFrame) -> Model | None:
     temperature instead. Document frequencies are of all learnable rows.
     """
     learn = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    languages = sorted(r.lang for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    ids = cut(sample_of_each(learn.select("doc_id", "lang"), "lang", PER_LANGUAGE, "language", MAX_LANGUAGES))
+    languages = sorted(r.lang for r in ids.select("lang").distinct().collect())
     if not languages:
         return None
-    order = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    ids = [learn.where(F.col("lang") == x).select("doc_id", "lang").orderBy(order, "doc_id").limit(PER_LANGUAGE) for x in languages]
-    chosen = ids[0]
-    for more in ids[1:]:
-        chosen = chosen.unionAll(more)
-    sample = cut(learn.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text"))
+    sample = cut(learn.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text"))
     idf = inverse_frequencies(learn)
 
     def load():

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import held_out, scored
+from splitfold.llm.common import held_out, sample_of_each, scored
 from splitfold.llm.toxicity import fit_logistic
 
 #: Rows that the model is fitted on, at most: trusted positives and unlabelled ones.
@@ -115,10 +115,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """From at most POSITIVES learnable documents with quality 1 and at most UNLABELLED learnable ones, whose labels aren't
     looked at; None without either."""
-    order = F.xxhash64(F.col("doc_id"), F.lit("quality"))
-    good = labels.where(~held_out() & (F.col("quality") == 1)).select("doc_id").distinct().orderBy(order, "doc_id").limit(POSITIVES)
-    web = docs.where(~held_out()).select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit("web")), "doc_id").limit(UNLABELLED)
-    ids = good.withColumn("p", F.lit(1)).unionAll(web.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
+    good = sample_of_each(labels.where(~held_out() & (F.col("quality") == 1)), "quality", POSITIVES, "quality").select("doc_id", F.lit(1).alias("p"))
+    web = sample_of_each(docs.where(~held_out()).select("doc_id", F.lit(0).alias("p")), "p", UNLABELLED, "web")
+    ids = good.unionAll(web).groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
     # A positive may also be drawn as web text: p and u say in which sets a document is.
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     made = scored("text", "f array<double>", lambda: lambda batch: pd.DataFrame({"f": [features(t) for t in batch]}))

@@ -21,6 +21,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ from splitfold.shipping import ship
 WIDTH, GRAM = 50, 20
 OFFSETS = WIDTH - GRAM + 1
 #: Bytes of text whose cover positions share a bucket in step 1; step 2 has FINER times as many buckets.
-BUCKET_BYTES, LEAST_BUCKETS, FINER = 64 << 20, 12, 4
+BUCKET_BYTES, LEAST_BUCKETS, FINER = 32 << 20, 12, 2
 #: Bytes that are hashed at a time; a longer text is cut into overlapping parts.
 BUFFER = 2 << 20
+#: Bytes of pieces that are dealt out at a time.
+PIECES = 48 << 20
 #: A null doc_id counts as larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -112,37 +115,56 @@ def _sample(buckets: int):
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = []
-                for k in range(buckets):
-                    own = order[edges[k] : edges[k + 1]]
-                    if len(own):
-                        used, index = np.unique(which[own], return_inverse=True)
-                        short = h[own] // np.uint64(buckets) >> np.uint64(8)
-                        out.append((k, b"".join(x.tobytes() for x in (np.array([len(used), len(own)], np.int64), heads[used, :2].ravel(), index.astype(np.int32), packed[own], (short >> np.uint64(8)).astype(np.uint32), short.astype(np.uint8)))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["bucket", "data"])
+                short = (h // np.uint64(buckets)).astype(np.uint32)
+                own = [(k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k] < edges[k + 1]]
+                if own:
+                    yield _dealt((k, _put(heads[which[i], :2], packed[i], short[i])) for k, i in own)
 
     return run
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
-    """(doc_id, key, packed, hash) of the cover positions in one row of _sample."""
-    n_docs, n = np.frombuffer(data, np.int64, 2)
-    at = 16
-    docs = np.frombuffer(data, np.int64, 2 * n_docs, at).reshape(-1, 2)
-    at += 16 * n_docs
-    index = np.frombuffer(data, np.int32, n, at)
-    packed = np.frombuffer(data, np.int64, n, at := at + 4 * n)
-    high = np.frombuffer(data, np.uint32, n, at := at + 8 * n)
-    low = np.frombuffer(data, np.uint8, n, at + 4 * n)
-    return docs[index, 0], docs[index, 1], packed, high.astype(np.int64) << 8 | low
+def _dealt(rows) -> pa.RecordBatch:
+    """Rows (bucket, data), compressed."""
+    press = zstandard.ZstdCompressor(level=3)
+    rows = [(k, press.compress(data)) for k, data in rows]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], ["bucket", "data"])
+
+
+def _put(docs: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns of rows as bytes, with each document (doc_id, key) of theirs once."""
+    new = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]).any(1)])
+    if len(new) > len(docs) // 2:
+        used, index = np.unique(docs, axis=0, return_inverse=True)
+    else:
+        used, index = docs[new], np.cumsum(np.bincount(new, minlength=len(docs))) - 1
+    # Of 8-byte numbers, bytes of the same weight stand together, which compresses well.
+    apart = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if x.dtype == np.int64 else x
+    parts = (np.array([len(used), len(docs)], np.int64), np.ascontiguousarray(used), apart(index.astype(np.int64)), *(apart(np.ascontiguousarray(c)) for c in columns))
+    return b"".join(x.tobytes() for x in parts)
+
+
+def _got(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    """doc_id, key and the columns that _put() was given; kinds has the type and the width in items of each."""
+    n_docs, n = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    docs = np.frombuffer(data, np.int64, 2 * n_docs, 16).reshape(-1, 2)
+    at, out = 16 + 16 * n_docs, []
+    for kind, width in ((np.int64, 1), *kinds):
+        size = n * width * np.dtype(kind).itemsize
+        if kind is np.int64:
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(8, n).T).view(np.int64).ravel())
+        else:
+            column = np.frombuffer(data, kind, n * width, at)
+            out.append(column.reshape(n, width) if width > 1 else column)
+        at += size
+    return [docs[out[0], 0], docs[out[0], 1], *out[1:]]
 
 
 def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """The data of one bucket after another, from rows (bucket, data) that are sorted by bucket."""
+    press = zstandard.ZstdDecompressor()
     rows = ((b, d) for batch in batches for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     for _, own in groupby(rows, key=lambda x: x[0]):
-        yield [d for _, d in own]
+        yield [press.decompress(d) for _, d in own]
 
 
 def _by_document(doc: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -161,7 +183,7 @@ def _by_document(doc: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> Iter
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cover positions whose string at least two doc_ids share."""
     for data in _in_buckets(batches):
-        doc, key, packed, h = (np.concatenate(x) for x in zip(*map(_unpacked, data), strict=True))
+        doc, key, packed, h = (np.concatenate(x) for x in zip(*(_got(d, (np.int64, 1), (np.uint32, 1)) for d in data), strict=True))
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
         sizes = np.diff(np.r_[starts, len(h)])
@@ -185,10 +207,11 @@ def _pieces(buckets: int):
                 around, doc, key, packed = (np.concatenate(x) for x in zip(*made, strict=True))
                 h = _mixed(((around[:, OFFSETS - 1 : OFFSETS - 1 + GRAM].astype(np.uint64) + np.uint64(1)) * weights).sum(1, dtype=np.uint64))
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((h, bucket))  # equal strings stand together, which compresses well
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = [(k, b"".join(x[own].tobytes() for x in (doc, key, packed, around))) for k in range(buckets) if len(own := order[edges[k] : edges[k + 1]])]
-                return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["bucket", "data"])
+                docs = np.c_[doc, key]
+                own = ((k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k] < edges[k + 1])
+                return _dealt((k, _put(docs[i], packed[i], around[i])) for k, i in own)
 
             for (doc, key, text), lists in zip(_rows(batch), batch.column(3), strict=True):
                 packed = np.frombuffer(b"".join(lists.as_py()), np.int64)
@@ -200,7 +223,7 @@ def _pieces(buckets: int):
                     around = np.where((reach[None, :] >= -(p >> 5 & 31)[:, None]) & (reach[None, :] < (WIDTH - (p & 31))[:, None]), around, 0).astype(np.uint8)
                     made.append((around, np.full(len(p), doc), np.full(len(p), key), p))
                     size += around.size
-                    if size > 16 << 20:
+                    if size > PIECES:
                         yield flush()
                         made.clear()
                         size = 0
@@ -231,12 +254,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of the suffix o bytes before."""
     width = OFFSETS - 1 + WIDTH
     for data in _in_buckets(batches):
-        columns = []
-        for d in data:
-            n = len(d) // (24 + width)
-            columns.append((*(np.frombuffer(d, np.int64, n, 8 * n * k) for k in range(3)), np.frombuffer(d, np.uint8, n * width, 24 * n).reshape(n, width)))
-        doc, key, packed, around = (np.concatenate(x) for x in zip(*columns, strict=True))
-        del columns
+        doc, key, packed, around = (np.concatenate(x) for x in zip(*(_got(d, (np.int64, 1), (np.uint8, width)) for d in data), strict=True))
+        del data
         ahead, shared_ahead = _sorted(around[:, OFFSETS - 1 :])
         back, shared_back = _sorted(around[:, : OFFSETS - 1][:, ::-1])
         far, near = packed >> 5 & 31, packed & 31
@@ -270,7 +289,7 @@ def removed_bytes(n: int, data: list[bytes]) -> np.ndarray:
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with the same id and text are one; a null text is empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64(text) % F.lit(1 << 31)).alias("key"), text.cast("binary").alias("text"))
 
 
 def marked(docs: DataFrame) -> DataFrame:

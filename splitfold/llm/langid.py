@@ -20,6 +20,8 @@ from splitfold.shipping import ship
 
 #: Hashed n-grams; labelled rows of each language that weights are fitted on, and languages, at most.
 DIMENSIONS, NGRAMS, PER_LANGUAGE, MAX_LANGUAGES = 1 << 16, (1, 2, 3), 800, 256
+#: And labelled rows in all, at most, or 20 of each language if that is more.
+MOST_ROWS = 6400
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-4, 3
 #: Characters that are hashed at a time, so that a very long text needs little memory.
 CHUNK = 1 << 20
@@ -128,7 +130,8 @@ def train(docs: DataFrame) -> Model | None:
     temperature instead. Document frequencies are of all learnable rows.
     """
     learn = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    ids = cut(sample_of_each(learn.select("doc_id", "lang"), "lang", PER_LANGUAGE, "language", MAX_LANGUAGES))
+    each = max(20, min(PER_LANGUAGE, MOST_ROWS // max(1, learn.select("lang").distinct().limit(MAX_LANGUAGES).count())))
+    ids = cut(sample_of_each(learn.select("doc_id", "lang"), "lang", each, "language", MAX_LANGUAGES))
     languages = sorted(r.lang for r in ids.select("lang").distinct().collect())
     if not languages:
         return None

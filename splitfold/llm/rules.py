@@ -12,10 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import cut
-
 #: Rows on which work and rejections are estimated; they decide the order of rules only.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 SPACE, SYMBOL = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 WINDOW = 8
 
@@ -74,13 +72,17 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def order(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """rules by estimated rejections per work on the sample, largest first; ties keep their order."""
+def order(rows: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """rules by estimated rejections per work on at most SAMPLE_ROWS rows, largest first; ties keep their order.
+
+    The rows are taken as they come: Spark reads no more partitions than it needs for them, and none are shuffled.
+    """
     if not rules:
         return []
-    asked = [f for k, r in enumerate(rules) for f in (F.avg(F.coalesce(r.rejects, F.lit(False)).cast("double")).alias(f"s{k}"), F.avg(r.work).alias(f"w{k}"))]
-    got = sample.agg(*asked).first()
-    rank = lambda k: -(got[f"s{k}"] or 0.0) / max(got[f"w{k}"] or 0.0, 1e-9)
+    asked = [f for k, r in enumerate(rules) for f in (F.coalesce(r.rejects, F.lit(False)).cast("double").alias(f"s{k}"), r.work.alias(f"w{k}"))]
+    sample = rows.select(*asked).limit(SAMPLE_ROWS).collect()
+    total = lambda c: sum(r[c] or 0.0 for r in sample)
+    rank = lambda k: -total(f"s{k}") / max(total(f"w{k}"), 1e-9)
     return [rules[k] for k in sorted(range(len(rules)), key=rank)]
 
 
@@ -100,7 +102,7 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "te
     """
     rules = default_rules(text_col) if rules is None else rules
     with_features = features(docs, text_col)
-    rules = order(cut(features(docs.select(text_col).limit(SAMPLE_ROWS), text_col)).where(~base_failed()), rules)
+    rules = order(features(docs.select(text_col), text_col), rules)
     df = with_features.withColumn("base_failed", base_failed())
     return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(rules).isNull()))
 

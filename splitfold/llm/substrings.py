@@ -287,9 +287,10 @@ def removed_bytes(n: int, data: list[bytes]) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with the same id and text are one; a null text is empty."""
+    """Rows with the same id and text are one; a null text is empty. No key is null, as Spark can see, so that both joins
+    of marked() can read one shuffle of the documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64(text) % F.lit(1 << 31)).alias("key"), text.cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)).alias("key"), text.cast("binary").alias("text"))
 
 
 def marked(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from splitfold.shipping import ship
 
 WIDTH, GRAM = 50, 20
 OFFSETS = WIDTH - GRAM + 1
+PIECE = OFFSETS - 1 + WIDTH
 #: Bytes of text whose cover positions share a bucket in step 1; step 2 has FINER times as many buckets.
 BUCKET_BYTES, LEAST_BUCKETS, FINER = 32 << 20, 12, 2
 #: Bytes that are hashed at a time; a longer text is cut into overlapping parts.
@@ -211,7 +212,7 @@ def _pieces(buckets: int):
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 docs = np.c_[doc, key]
                 own = ((k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k] < edges[k + 1])
-                return _dealt((k, _put(docs[i], packed[i], around[i])) for k, i in own)
+                return _dealt((k, _gathered(docs[i], packed[i], around[i])) for k, i in own)
 
             for (doc, key, text), lists in zip(_rows(batch), batch.column(3), strict=True):
                 packed = np.frombuffer(b"".join(lists.as_py()), np.int64)
@@ -233,6 +234,32 @@ def _pieces(buckets: int):
     return run
 
 
+def _gathered(docs: np.ndarray, packed: np.ndarray, around: np.ndarray) -> bytes:
+    """Pieces with equal bytes once, and which of them each row has: what a frequent passage sends to its bucket is short."""
+    whole = np.zeros((len(docs), -(-(PIECE + 2) // 8) * 8), np.uint8)
+    whole[:, :PIECE], whole[:, PIECE], whole[:, PIECE + 1] = around, packed >> 5 & 31, packed & 31
+    h = np.zeros(len(docs), np.uint64)
+    for word in whole.view(np.uint64).T:
+        h = _mixed(h * _A + word)
+    _, first, content = np.unique(h, return_index=True, return_inverse=True)
+    if (whole[first[content]] != whole).any():  # different pieces of one hash: each row keeps its own
+        first = content = np.arange(len(docs))
+    rows = _put(docs, packed, content.astype(np.uint32))
+    return len(rows).to_bytes(8, "little") + rows + whole[first, : PIECE + 2].tobytes()
+
+
+def _opened(data: list[bytes]) -> tuple[np.ndarray, ...]:
+    """doc_id, key, cover position and piece of each row, and the pieces with how far before them suffixes start."""
+    columns, pieces, n = [], [], 0
+    for d in data:
+        size = int.from_bytes(d[:8], "little")
+        doc, key, packed, content = _got(d[8 : 8 + size], (np.int64, 1), (np.uint32, 1))
+        columns.append((doc, key, packed >> 10, content.astype(np.int64) + n))
+        pieces.append(np.frombuffer(d, np.uint8, offset=8 + size).reshape(-1, PIECE + 2))
+        n += len(pieces[-1])
+    return (*(np.concatenate(x) for x in zip(*columns, strict=True)), np.concatenate(pieces))
+
+
 def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rank of each row of bytes, and how many bytes the row of a rank shares with the one before."""
     n, width = rows.shape
@@ -252,26 +279,27 @@ def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document, cover positions and which of the suffixes that reach them occur under a smaller doc_id: bit o is that
     of the suffix o bytes before."""
-    width = OFFSETS - 1 + WIDTH
     for data in _in_buckets(batches):
-        doc, key, packed, around = (np.concatenate(x) for x in zip(*(_got(d, (np.int64, 1), (np.uint8, width)) for d in data), strict=True))
+        doc, key, at, content, pieces = _opened(data)
         del data
-        ahead, shared_ahead = _sorted(around[:, OFFSETS - 1 :])
-        back, shared_back = _sorted(around[:, : OFFSETS - 1][:, ::-1])
-        far, near = packed >> 5 & 31, packed & 31
+        order = np.argsort(content, kind="stable")
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(np.r_[True, np.diff(content[order]) > 0]))
+        ahead, shared_ahead = _sorted(pieces[:, OFFSETS - 1 : PIECE])
+        back, shared_back = _sorted(pieces[:, : OFFSETS - 1][:, ::-1])
+        far, near = pieces[:, PIECE], pieces[:, PIECE + 1]
         mask = np.zeros(len(doc), np.uint32)
         for o in range(OFFSETS):
             own = np.flatnonzero((near <= o) & (o <= far))
             if not len(own):
                 continue
-            group = np.cumsum(shared_ahead < WIDTH - o)[ahead[own]] * len(doc) + np.cumsum(shared_back < o)[back[own]]
+            group = np.cumsum(shared_ahead < WIDTH - o)[ahead[own]] * len(pieces) + np.cumsum(shared_back < o)[back[own]]
             order = np.argsort(group)
-            group, docs = group[order], doc[own[order]]
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            least = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.r_[starts, len(group)]))
-            mask[own[order[docs > least]]] |= np.uint32(1 << o)
+            starts = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+            found = np.full(len(pieces), NULL_ID)
+            found[own[order]] = np.repeat(np.minimum.reduceat(least[own[order]], starts), np.diff(np.r_[starts, len(own)]))
+            mask |= (found[content] < doc).astype(np.uint32) << np.uint32(o)
         hit = mask > 0
-        yield from _by_document(doc[hit], key[hit], packed[hit] >> 10, mask[hit])
+        yield from _by_document(doc[hit], key[hit], at[hit], mask[hit])
 
 
 def removed_bytes(n: int, data: list[bytes]) -> np.ndarray:

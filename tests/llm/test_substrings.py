@@ -54,3 +54,19 @@ def test_null_ids_and_empty_tables(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in substrings.digests(df).collect()) == [(-1, 90), (-1, 90), (3, 0)]
     assert sorted((r.doc_id or -1, len(r.kept)) for r in substrings.kept_text(df).collect()) == [(-1, 0), (-1, 0), (3, 90)]
     assert substrings.digests(df.limit(0)).count() == 0
+
+
+def test_pieces_are_kept_apart_when_hashes_collide(monkeypatch):
+    rng = np.random.default_rng(5)
+    around = rng.integers(0, 255, (6, substrings.PIECE)).astype(np.uint8)
+    around[3] = around[1]
+    docs, packed = np.c_[np.arange(6), np.zeros(6, np.int64)], np.arange(6) << 10 | 5 << 5 | 2
+    packed[4] |= 1
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(substrings, "_mixed", lambda h: h * np.uint64(0))
+        doc, key, at, content, pieces = substrings._opened([substrings._gathered(docs, packed, around)] * 2)
+        assert doc.tolist() == [*range(6)] * 2 and at.tolist() == [*range(6)] * 2 and not key.any()
+        assert len(pieces) == (12 if collide else 10)
+        assert (pieces[content][:, : substrings.PIECE] == np.r_[around, around]).all()
+        assert (pieces[content][:, substrings.PIECE + 1] == np.r_[packed, packed] % 32).all()

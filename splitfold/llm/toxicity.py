@@ -1,8 +1,8 @@
 """Toxicity by a lexicon trie intersected with Levenshtein automata, and context windows around each hit.
 
 The states of the product automaton are sets of (trie node, edits so far); they are built when first reached and kept, so a
-word costs one look-up for each of its characters, and most words die after a few. Terms of the lexicon match whole words
-with up to one edit; stems, which are learned from labelled rows, match exactly at the start of a word. A hit counts as
+word costs one look-up for each of its characters, and most words die after a few. Terms match whole words with up to one
+edit: those of the lexicon and words that are learned from labelled rows. Stems match exactly at the start of a word. Words that labelled rows show to be harmless match only as terms. A hit counts as
 quotation if quotes enclose it or a word of speaking stands near it, and as abuse otherwise, more so beside a word of address.
 """
 
@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from splitfold.llm.common import bounded_sample, cut, scored
 from splitfold.shipping import ship
 
-#: Labelled rows of each class that the model is fitted on, at most; and learned stems, at most.
-SAMPLE_PER_CLASS, MAX_STEMS = 3000, 400
-#: Stems have so many characters; a stem needs this G-squared against chance and so many toxic documents.
+#: Labelled rows of each class that the model is fitted on, at most; learned stems, and learned words, at most; harmless words, at most.
+SAMPLE_PER_CLASS, MAX_STEMS, MAX_HARMLESS = 3000, 400, 4000
+#: Stems have so many characters; a stem or word needs this G-squared against chance and so many toxic documents.
 STEM_LENGTHS, MIN_G2, MIN_DOCS = range(4, 10), 20.0, 4
+#: A word is harmless if so many clean documents have it and the log of the odds is under this; it is toxic from MIN_ODDS on.
+HARMLESS_DOCS, HARMLESS_ODDS, MIN_ODDS = 3, 1.0, 2.0
 #: Words on each side of a hit that are its context; terms shorter than FUZZY_FROM must match exactly.
 CONTEXT, FUZZY_FROM = 6, 5
 # The lexicon and the context words.
@@ -59,7 +61,8 @@ class Matcher:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.verdict: list[int] = []  # of a word that ends here: 0 none, 1 exact, 2 with an edit; 3: a stem has been passed
+        self.verdict: list[int] = []  # of a word that ends here: 0 none, 1 exact, 2 with an edit
+        self.passed: list[bool] = []  # a stem ends here
         self.start = self._state(frozenset(self._closed({(0, 0)})))
 
     def _closed(self, pairs: set[tuple[int, int]]) -> set[tuple[int, int]]:
@@ -72,19 +75,18 @@ class Matcher:
             self.sets.append(pairs)
             self.moves.append({})
             best = 0
-            if any(e == 0 and self.stem[n] for n, e in pairs):
-                best = 3
-            elif any(e == 0 and self.term[n] for n, e in pairs):
+            if any(e == 0 and self.term[n] for n, e in pairs):
                 best = 1
             elif any(e == 1 and self.term[n] == 2 for n, e in pairs):
                 best = 2
             self.verdict.append(best)
+            self.passed.append(any(e == 0 and self.stem[n] for n, e in pairs))
         return self.ids[pairs]
 
     def _move(self, state: int, ch: str) -> int:
         if len(self.sets) > 100_000:  # rebuilt when reached again
             keep = self.sets[state]
-            self.ids, self.sets, self.moves, self.verdict = {}, [], [], []
+            self.ids, self.sets, self.moves, self.verdict, self.passed = {}, [], [], [], []
             self.start = self._state(frozenset(self._closed({(0, 0)})))
             state = self._state(keep)
         out: set[tuple[int, int]] = set()
@@ -100,18 +102,18 @@ class Matcher:
         return to
 
     def match(self, word: str) -> int:
-        """0: no hit, 1: a term, 2: a term with one edit, 3: starts with a stem."""
-        state = self.start
+        """0: no hit, 1: a term, 2: a term with one edit, 3: no term, but starts with a stem."""
+        state, stem = self.start, 0
         for ch in word:
             to = self.moves[state].get(ch)
             if to is None:
                 to = self._move(state, ch)
             if to < 0:
-                return 0
-            if self.verdict[to] == 3:
-                return 3
+                return stem
+            if self.passed[to]:
+                stem = 3
             state = to
-        return self.verdict[state]
+        return self.verdict[state] or stem
 
 
 FEATURES = ["abuse", "edited", "stems", "quoted", "rate"]
@@ -120,6 +122,8 @@ FEATURES = ["abuse", "edited", "stems", "quoted", "rate"]
 @dataclass
 class Model:
     stems: list[str] = field(default_factory=list)
+    words: list[str] = field(default_factory=list)
+    harmless: list[str] = field(default_factory=list)
     mean: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES))
     scale: list[float] = field(default_factory=lambda: [1.0] * len(FEATURES))
     weights: list[float] = field(default_factory=lambda: [1.0, 0.5, 0.5, 0.0, 1.0])
@@ -128,28 +132,33 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model, terms: list[str] | None = None):
-        self.model, self.matcher = model, Matcher(TERMS if terms is None else terms, model.stems)
+        self.model, self.matcher = model, Matcher((TERMS if terms is None else terms) + model.words, model.stems)
+        self.harmless = frozenset(model.harmless)
         self.hit: dict[str, int] = {}
 
+    def kind(self, word: str) -> int:
+        k = self.matcher.match(word)
+        return 0 if k > 1 and word in self.harmless else k
+
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, float]], int]:
         """(start, end, kind, abuse) of each hit, and the number of words; abuse: 0.1 in a quotation, 1, or 1.5 beside an address."""
         low = text.lower()
         words = WORD.findall(low)
-        known, matcher = self.hit, self.matcher
+        known = self.hit
         bad = False
         for w in set(words):
             k = known.get(w)
             if k is None:
                 if len(known) > 300_000:
                     known.clear()
-                k = known[w] = matcher.match(w)
+                k = known[w] = self.kind(w)
             bad = bad or k > 0
         if not bad:
             return [], len(words)
         spans = list(WORD.finditer(low))
         out = []
         for i, m in enumerate(spans):
-            if k := matcher.match(m.group()):
+            if k := known.get(m.group()) or self.kind(m.group()):
                 near = {words[j] for j in range(max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)) if j != i}
                 enclosed = low[m.start() - 1 : m.start()] in OPEN and low[m.end() : m.end() + 1] in CLOSE and m.start() > 0 and m.end() < len(low)
                 opened = low.rfind('"', max(0, m.start() - 60), m.start()) >= 0 and low.find('"', m.end(), m.end() + 60) >= 0
@@ -171,46 +180,59 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stems with the number of documents of each label that have them; counted here before the shuffle."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole words and stems with the number of documents of each label that have them; counted here before the shuffle.
+
+    Words of the lexicon are left out: they need no learning, and their beginnings are no evidence.
+    """
     n = [Counter(), Counter()]
+    terms = frozenset(TERMS)
 
     def made():
         keys = list(n[0].keys() | n[1].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([n[k][x] for x in keys], pa.int64()) for k in (1, 0))], ["stem", "pos", "neg"])
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array([n[x][k] for k in keys], pa.int64()) for x in (1, 0))]
         n[0].clear()
         n[1].clear()
-        return out
+        return pa.RecordBatch.from_arrays(columns, ["stem", "whole", "pos", "neg"])
 
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1), strict=True):
-            words = {w for w in WORD.findall((text.as_py() or "").lower()) if len(w) >= STEM_LENGTHS[0]}
-            n[label.as_py()].update({w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k})
+            words = {w for w in WORD.findall((text.as_py() or "").lower()) if len(w) >= STEM_LENGTHS[0]} - terms
+            n[label.as_py()].update({(w, True) for w in words} | {(w[:k], False) for w in words for k in STEM_LENGTHS if len(w) >= k})
             if len(n[0]) + len(n[1]) > 1_000_000:
                 yield made()
     yield made()
 
 
-def learned_stems(sample: DataFrame) -> list[str]:
-    """Stems of toxic documents in sample (text, label): the shortest that chance doesn't explain; at most MAX_STEMS."""
+def learned(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """From sample (text, label): stems and words of toxic documents that chance doesn't explain, at most MAX_STEMS of each,
+    and harmless words that they or the lexicon would otherwise hit by an edit or a stem, at most MAX_HARMLESS."""
     ship(sample.sparkSession)
     totals = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     n1, n0 = totals[0] or 0, totals[1] or 0
     if not n1 or not n0:
-        return []
-    counts = sample.select("text", "label").mapInArrow(_prefixes, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        return [], [], []
+    made = sample.select("text", "label").mapInArrow(_counts, "stem string, whole boolean, pos long, neg long")
+    counts = cut(made.groupBy("stem", "whole").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     both = F.col("pos") + F.col("neg")
     part = lambda x, p: F.when(x > 0, x * F.log(x / (both * p))).otherwise(0.0)
     g2 = 2 * (part(F.col("pos"), n1 / (n1 + n0)) + part(F.col("neg"), n0 / (n1 + n0)))
     odds = F.log((F.col("pos") + 0.5) / (n1 + 1) / ((F.col("neg") + 0.5) / (n0 + 1)))
-    found = counts.withColumns({"g2": g2, "odds": odds}).where((F.col("pos") >= MIN_DOCS) & (F.col("g2") >= MIN_G2) & (F.col("odds") >= 2.0))
-    rows = found.orderBy(F.desc("g2"), F.length("stem"), "stem").limit(4 * MAX_STEMS).collect()
-    kept: list[str] = []
+    counts = counts.withColumns({"g2": g2, "odds": odds})
+    whole, toxic = counts.where("whole"), (F.col("pos") >= MIN_DOCS) & (F.col("g2") >= MIN_G2) & (F.col("odds") >= MIN_ODDS)
+    words = [r.stem for r in whole.where(toxic).orderBy(F.desc("g2"), "stem").limit(MAX_STEMS).collect()]
+    rows = counts.where(~F.col("whole") & toxic).orderBy(F.desc("g2"), F.length("stem"), "stem").limit(4 * MAX_STEMS).collect()
     strong = {r.stem for r in rows}
-    for r in rows:
-        if not any(r.stem[:k] in strong for k in range(STEM_LENGTHS[0], len(r.stem))):
-            kept.append(r.stem)
-    return kept[:MAX_STEMS]
+    stems = [r.stem for r in rows if not any(r.stem[:k] in strong for k in range(STEM_LENGTHS[0], len(r.stem)))][:MAX_STEMS]
+    hit = scored("stem", "k int", lambda: _kinds(Model(stems, words)))
+    clean = whole.where((F.col("neg") >= HARMLESS_DOCS) & (F.col("odds") < HARMLESS_ODDS)).select("stem", "neg", hit.alias("hit"))
+    harmless = [r.stem for r in clean.where("hit.k > 1").orderBy(F.desc("neg"), "stem").limit(MAX_HARMLESS).collect()]
+    return stems, words, harmless
+
+
+def _kinds(model: Model):
+    scorer = Scorer(model)
+    return lambda batch: pd.DataFrame({"k": [scorer.kind(w) for w in batch]}, dtype="int32")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -226,22 +248,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50
     return w[:-1], float(w[-1])
 
 
+def fit_hits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Mean, scale, weights and bias; more hits never lower the score.
+
+    Labelled rows hold hardly any altered term, so each row with terms is fitted once more with all of them altered.
+    """
+    altered = x[x[:, 0] > 0].copy()
+    altered[:, 1] = np.log1p(np.expm1(altered[:, 0]) + np.expm1(altered[:, 1]))
+    altered[:, 0] = 0
+    x, y = np.r_[x, altered], np.r_[y, y[x[:, 0] > 0]]
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    z = (x - mean) / scale
+    hits = [k for k, name in enumerate(FEATURES) if name != "quoted"]
+    while True:
+        w, bias = fit_logistic(z, y)
+        least = min(hits, key=lambda k: w[k])
+        if w[least] > -1e-9:
+            return mean, scale, np.where(np.isin(np.arange(len(w)), hits), np.maximum(w, 0), w), bias
+        z[:, least] = 0
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Learns stems and weights from at most SAMPLE_PER_CLASS labelled, learnable documents of each class.
+    """Learns stems, words and weights from at most SAMPLE_PER_CLASS labelled, learnable documents of each class.
 
     With one class only, or none, the lexicon's default weights hold.
     """
     ids = bounded_sample(labels, label, SAMPLE_PER_CLASS)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label"))
-    model = Model(stems=learned_stems(sample))
+    model = Model(*learned(sample))
     made = scored("text", "f array<double>", lambda: _features(model))
     rows = sample.select("label", made.alias("r")).select("label", "r.f").collect()
     y = np.array([r.label for r in rows], float)
     if not len(y) or y.min() == y.max():
         return model
     x = np.array([r.f for r in rows])
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    w, bias = fit_logistic((x - mean) / scale, y)
+    mean, scale, w, bias = fit_hits(x, y)
     model.mean, model.scale, model.weights, model.bias = mean.tolist(), scale.tolist(), w.tolist(), bias
     return model
 

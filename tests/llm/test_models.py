@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,30 @@ def test_long_texts_have_the_same_ngrams_in_parts(monkeypatch):
     monkeypatch.setattr(langid, "CHUNK", 64)
     parts = langid.counts(text)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_terms_come_before_stems():
+    m = toxicity.Matcher(["moron", "idiot"], ["moro", "idi"])
+    assert [m.match(w) for w in ("moron", "moroon", "morose", "idiot", "idxot", "idiocy", "idle")] == [1, 2, 3, 1, 2, 3, 0]
+
+
+def learned_from(spark, insults, n=240):
+    """A model of n texts of which a quarter has an insult in turn; a third of the others has a harmless word near a term."""
+    plain = "the sun rose over a calm river and boats went slowly by while people talked about old books".split()
+    text = lambda k: " ".join(plain[(7 * k + j) % len(plain)] for j in range(60))
+    toxic = [(k, f"{text(k)} {insults[k // 4 % len(insults)]} {insults[k // 4 * 5 % len(insults)]}", 1) for k in range(0, n, 4)]
+    clean = [(k, text(k) + (" oron" if k % 3 == 0 else ""), 0) for k in range(n) if k % 4]
+    rows = spark.createDataFrame(toxic + clean, "doc_id long, text string, toxic int")
+    model = toxicity.train(rows.drop("toxic"), rows.drop("text"))
+    scorer = toxicity.Scorer(model)
+    return model, lambda words: float(scorer.score(np.array([scorer.features(f"{text(1)} {words} {text(2)}")]))[0])
+
+
+def test_altered_insults_are_toxic(spark):
+    model, score = learned_from(spark, ["idiot", "moron", "pathetic", "grumphaz"])
+    weights = dict(zip(toxicity.FEATURES, model.weights, strict=True))
+    assert weights["abuse"] > 0 and weights["edited"] > 0 and "grumphaz" in model.words and "oron" in model.harmless
+    assert not any(w.startswith(s) for w in toxicity.TERMS for s in model.stems)
+    for words in ("idxot", "moxon", "paxhetic", "grumphaz", "grxmphaz", "idiot"):
+        assert score(f"{words} and {words}") >= 0.5, words
+    assert score("oron") < 0.5 and score("") < 0.5

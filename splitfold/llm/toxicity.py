@@ -2,7 +2,8 @@
 
 The states of the product automaton are sets of (trie node, edits so far); they are built when first reached and kept, so a
 word costs one look-up for each of its characters, and most words die after a few. Terms match whole words with up to one
-edit: those of the lexicon and words that are learned from labelled rows. Stems match exactly at the start of a word. Words that labelled rows show to be harmless match only as terms. A hit counts as
+edit: those of the lexicon and words that are learned from labelled rows. Stems match exactly at the start of a word; they are
+learned where several endings bear them out. Words that labelled rows show to be harmless match only as terms. A hit counts as
 quotation if quotes enclose it or a word of speaking stands near it, and as abuse otherwise, more so beside a word of address.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from splitfold.shipping import ship
 SAMPLE_PER_CLASS, MAX_STEMS, MAX_HARMLESS = 3000, 400, 4000
 #: Stems have so many characters; a stem or word needs this G-squared against chance and so many toxic documents.
 STEM_LENGTHS, MIN_G2, MIN_DOCS = range(4, 10), 20.0, 4
+#: A stem needs so many endings, each in so many toxic documents, and at least half of all endings; a longer stem with this share of its evidence replaces it.
+MIN_ENDINGS, ENDING_DOCS, SAME_EVIDENCE = 3, 2, 0.9
 #: A word is harmless if so many clean documents have it and the log of the odds is under this; it is toxic from MIN_ODDS on.
 HARMLESS_DOCS, HARMLESS_ODDS, MIN_ODDS = 3, 1.0, 2.0
 #: Words on each side of a hit that are its context; terms shorter than FUZZY_FROM must match exactly.
@@ -204,6 +207,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
+def _longest(evidence: dict[str, int]) -> list[str]:
+    """Of stems that begin alike, the shortest one, made as long as nearly all its evidence lets it be."""
+    kept: list[str] = []
+    for s in sorted(evidence, key=lambda s: (len(s), s)):
+        if not any(s.startswith(k) for k in kept):
+            kept.append(max((q for q in evidence if q.startswith(s) and evidence[q] >= SAME_EVIDENCE * evidence[s]), key=len))
+    return sorted(set(kept), key=lambda s: (-evidence[s], s))[:MAX_STEMS]
+
+
 def learned(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """From sample (text, label): stems and words of toxic documents that chance doesn't explain, at most MAX_STEMS of each,
     and harmless words that they or the lexicon would otherwise hit by an edit or a stem, at most MAX_HARMLESS."""
@@ -221,9 +233,13 @@ def learned(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     counts = counts.withColumns({"g2": g2, "odds": odds})
     whole, toxic = counts.where("whole"), (F.col("pos") >= MIN_DOCS) & (F.col("g2") >= MIN_G2) & (F.col("odds") >= MIN_ODDS)
     words = [r.stem for r in whole.where(toxic).orderBy(F.desc("g2"), "stem").limit(MAX_STEMS).collect()]
-    rows = counts.where(~F.col("whole") & toxic).orderBy(F.desc("g2"), F.length("stem"), "stem").limit(4 * MAX_STEMS).collect()
-    strong = {r.stem for r in rows}
-    stems = [r.stem for r in rows if not any(r.stem[:k] in strong for k in range(STEM_LENGTHS[0], len(r.stem)))][:MAX_STEMS]
+    bears = (F.col("pos") >= ENDING_DOCS) & (F.col("odds") >= MIN_ODDS)
+    starts = F.explode(F.array_distinct(F.array(*(F.substring("stem", 1, k) for k in STEM_LENGTHS)))).alias("start")
+    of_words = whole.where(both >= ENDING_DOCS).select(starts, bears.cast("int").alias("bears"), "pos").groupBy("start")
+    endings = of_words.agg(F.sum("bears").alias("n"), F.count("*").alias("of"), F.sum(F.col("bears") * F.col("pos")).alias("evidence"))
+    endings = endings.where((F.col("n") >= MIN_ENDINGS) & (2 * F.col("n") >= F.col("of")))
+    found = counts.where(~F.col("whole") & toxic).join(endings, F.col("stem") == F.col("start")).orderBy(F.desc("g2"), "stem").limit(4 * MAX_STEMS)
+    stems = _longest({r.stem: r.evidence for r in found.collect()})
     hit = scored("stem", "k int", lambda: _kinds(Model(stems, words)))
     clean = whole.where((F.col("neg") >= HARMLESS_DOCS) & (F.col("odds") < HARMLESS_ODDS)).select("stem", "neg", hit.alias("hit"))
     harmless = [r.stem for r in clean.where("hit.k > 1").orderBy(F.desc("neg"), "stem").limit(MAX_HARMLESS).collect()]
@@ -248,15 +264,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50
     return w[:-1], float(w[-1])
 
 
-def fit_hits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Mean, scale, weights and bias; more hits never lower the score.
+def fit_hits(x: np.ndarray, unseen: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Mean, scale, weights and bias; more hits never lower the score. unseen: x as if no word had been learned.
 
-    Labelled rows hold hardly any altered term, so each row with terms is fitted once more with all of them altered.
+    Labelled rows hold hardly any altered term, so each row with terms is fitted once more with all of them altered. And
+    learned words hide the stems they begin with, so each row with such words is fitted once more as unseen.
     """
     altered = x[x[:, 0] > 0].copy()
     altered[:, 1] = np.log1p(np.expm1(altered[:, 0]) + np.expm1(altered[:, 1]))
     altered[:, 0] = 0
-    x, y = np.r_[x, altered], np.r_[y, y[x[:, 0] > 0]]
+    hidden = unseen[:, 2] > x[:, 2]
+    x, y = np.r_[x, altered, unseen[hidden]], np.r_[y, y[x[:, 0] > 0], y[hidden]]
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = (x - mean) / scale
     hits = [k for k, name in enumerate(FEATURES) if name != "quoted"]
@@ -276,20 +294,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     ids = bounded_sample(labels, label, SAMPLE_PER_CLASS)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label"))
     model = Model(*learned(sample))
-    made = scored("text", "f array<double>", lambda: _features(model))
-    rows = sample.select("label", made.alias("r")).select("label", "r.f").collect()
+    made = scored("text", "f array<double>, unseen array<double>", lambda: _features(model))
+    rows = sample.select("label", made.alias("r")).select("label", "r.*").collect()
     y = np.array([r.label for r in rows], float)
     if not len(y) or y.min() == y.max():
         return model
     x = np.array([r.f for r in rows])
-    mean, scale, w, bias = fit_hits(x, y)
+    mean, scale, w, bias = fit_hits(x, np.array([r.unseen for r in rows]), y)
     model.mean, model.scale, model.weights, model.bias = mean.tolist(), scale.tolist(), w.tolist(), bias
     return model
 
 
 def _features(model: Model):
-    scorer = Scorer(model)
-    return lambda batch: pd.DataFrame({"f": [scorer.features(t) for t in batch]})
+    scorer, unseen = Scorer(model), Scorer(replace(model, words=[]))
+    return lambda batch: pd.DataFrame({"f": [scorer.features(t) for t in batch], "unseen": [unseen.features(t) for t in batch]})
 
 
 def score(text_col: str | Column, model: Model) -> Column:

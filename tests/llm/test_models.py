@@ -111,3 +111,11 @@ def test_altered_insults_are_toxic(spark):
     for words in ("idxot", "moxon", "paxhetic", "grumphaz", "grxmphaz", "idiot"):
         assert score(f"{words} and {words}") >= 0.5, words
     assert score("oron") < 0.5 and score("") < 0.5
+
+
+def test_stems_need_several_endings(spark):
+    model, score = learned_from(spark, ["pathetic", "worthless", "idiotically", "grumphaz", "grumphel", "grumphio", "grumphuy"])
+    assert model.stems == ["grumph"]
+    for words in ("path", "worth", "pathology", "idiomatic", "the path was worth it"):
+        assert score(words) < 0.5, words
+    assert score("grumphorn and grumphest") >= 0.5

@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitfold.llm.common import cut
@@ -46,17 +46,22 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row, repeated rows included; fp holds the 64 bits as a signed long."""
+def text_hash(text_col: str = "text") -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of each row, repeated rows included; fp holds the 64 bits as a signed long. If hashed, also text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "text_hash"][: 2 + hashed])
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *([text_hash(text_col).alias("text_hash")] if hashed else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", text_hash binary" if hashed else ""))
 
 
 def postings(distinct: DataFrame) -> DataFrame:
@@ -166,22 +171,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of such rows alone has a null component_id; repeated rows are returned as often as they occur. Other columns
     are ignored; an empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, id_col, text_col))
+    return _with_components(cut(fingerprints(docs, id_col, text_col))).select("doc_id", "fp", "component_id")
+
+
+def _with_components(rows: DataFrame) -> DataFrame:
+    """rows of fingerprints() with root, one fingerprint that stands for the component, and component_id."""
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = cut(components(links(distinct)))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = classes.join(ids, "root").select("fp", "component_id")
-    return rows.join(component, "fp").select("doc_id", "fp", "component_id")
+    component = classes.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(component, "fp")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate component: the one with its smallest id; of repeated ids, any one row."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    once = kept.where("_n = 1").drop("_id", "_n")
-    return once.unionAll(kept.where("_n > 1").dropDuplicates(["_id"]).drop("_id", "_n"))
+    """docs with one row of each near-duplicate component: the one with its smallest id, then hash of the text; null ids come last.
+
+    Rows with the same id and text are in the same component, so id and hash name the row; of repeated such rows any one stays.
+    """
+    found = _with_components(cut(fingerprints(docs, id_col, text_col, hashed=True)))
+    of_key = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("n"))).alias("x")
+    keep = of_key.groupBy("root").agg(least).select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("x.n").alias("_n"))
+    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_hash(text_col) == F.col("_hash")))
+    once = kept.where("_n = 1").drop("_id", "_hash", "_n")
+    return once.unionAll(kept.where("_n > 1").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash", "_n"))
 
 
 def hex_digits(fp: str = "fp"):

@@ -80,3 +80,12 @@ def test_near_duplicates_of_odd_rows(spark):
     kept = simhash.representatives(spark.createDataFrame(rows, DOCS))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 7] and kept.columns == ["doc_id", "text", "fp", "component_id"]
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_representatives_of_shared_and_null_ids(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(200)) for name in "abcdefg"]
+    near = texts[5] + " more"
+    assert bin(simhash.fingerprint(texts[5].encode()) ^ simhash.fingerprint(near.encode())).count("1") <= 3
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (3, texts[3]), (3, texts[4]), (1, texts[5]), (2, near), (2, texts[6])]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, texts.index(r.text)) for r in kept) == [(-1, 0), (-1, 1), (-1, 2), (1, 5), (2, 6), (3, 3), (3, 4)]

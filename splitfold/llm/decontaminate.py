@@ -83,9 +83,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents; rows that share an id go together."""
-    dirty = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """docs without contaminated rows; the verdict is of the text, so id and hash of the text name the rows that go."""
+    text_hash = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), text_hash.alias("hash")).alias("doc_id"), "text")
+    dirty = contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.hash").alias("_hash")).distinct()
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), "left_anti")
 
 
 SQL = r"""

@@ -74,3 +74,10 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.contamination(docs, none).first()[:4] == (1, 2, 0, 0)
     assert decontaminate.contamination(docs.limit(0), none).count() == 0
     assert decontaminate.clean(docs, none).columns == docs.columns
+
+
+def test_clean_rows_stay_whose_id_a_contaminated_row_shares(spark):
+    items = spark.createDataFrame([(1, "secret benchmark phrase")], "item_id long, text string")
+    rows = [(1, "secret benchmark phrase"), (1, "plain words"), (None, "a secret benchmark phrase"), (None, "other words"), (None, None), (1, "plain words")]
+    kept = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)

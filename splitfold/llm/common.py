@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from splitfold.operators.views import fresh, quoted
 from splitfold.shipping import shared_folder, ship
 
+__all__ = ["FOLDS", "HELD_OUT", "bounded_sample", "columns_of", "cut", "fresh", "held_out", "row_key", "sample_of_each", "scored", "table"]
+
 #: A model learns labels only from rows whose remainder isn't HELD_OUT.
 FOLDS, HELD_OUT = 5, 0
 
@@ -27,6 +30,16 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(rest == HELD_OUT, F.lit(True))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """16 bytes that tell a row's id and text from all others: MD5 of both. A null text counts as empty, a null id as none."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df by name, whatever characters the names have."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df written to the cluster's shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)

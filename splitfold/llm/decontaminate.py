@@ -4,6 +4,9 @@ A window of k item words is contained in a document only if all its k one-word s
 shingles in order of rarity is its rarest one. Rarity is counted over all documents. The join meets each document word with
 the windows whose rarest word it is; the word's place in the window then bounds where the window can start (positional
 bound) and whether it fits into the document (length bound), and the words there are compared with the window's.
+
+A small index is broadcast, and windows are compared where the words are. A large one is shuffled: then single words meet it,
+each dealt to SALTS tasks, and what passes both bounds meets the words of its document, which are shuffled once.
 """
 
 from __future__ import annotations
@@ -12,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import cut
+from splitfold.llm.common import columns_of, cut, fresh, row_key
 
 WINDOW = 13
-#: Bytes of words up to which a table made of the benchmark is broadcast; beyond, Spark shuffles both sides.
-BROADCAST_BYTES = 32 << 20
+#: Counted bytes up to which a table is broadcast; beyond, both sides are shuffled, and each word is dealt to so many tasks.
+BROADCAST_BYTES, SALTS = 32 << 20, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -28,10 +31,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, NOT_WORD, -1), "")
 
 
+def _small(df: DataFrame, column: Column) -> bool:
+    """Whether the bytes of column, which are counted, are few enough to broadcast df."""
+    return (df.agg(F.sum(F.octet_length(column) + 64)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def _sized(df: DataFrame, column: Column) -> DataFrame:
-    """df with a broadcast hint if the bytes of column are few; this is counted."""
-    total = df.agg(F.sum(F.octet_length(column) + 64)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    return F.broadcast(df) if _small(df, column) else df
 
 
 def windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,6 +59,25 @@ def prefixes(docs_words: DataFrame, wins: DataFrame) -> DataFrame:
     return rarest.select("x.token", "wid", "x.win", "x.offset", F.size("x.win").alias("k"))
 
 
+def _met(base: DataFrame, index: DataFrame) -> DataFrame:
+    """Of base (key, doc_id, n_words, w): (key, doc_id, n_words, start, k, wid), a row for each occurrence of a window and one
+    for each row of base, whose start, k and wid are null."""
+    start = F.col("pos") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("k") <= F.col("n_words"))
+    same = F.slice("w", start + 1, F.col("k")) == F.col("win")
+    own, place = ["key", "doc_id", "n_words"], [start.alias("start"), "k", "wid"]
+    if _small(index, F.concat_ws(" ", "win")):
+        end = F.array(F.lit(None).cast("string"))  # which no word equals, so each row has one row more
+        words = base.select(*own, "w", F.posexplode(F.concat("w", end)).alias("pos", "token"))
+        return words.join(F.broadcast(index), "token", "left").where(F.isnull("token") | (fits & same)).select(*own, *place)
+    words = base.select("key", "n_words", F.posexplode("w").alias("pos", "token")).withColumn("salt", F.col("pos") % SALTS)
+    dealt = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    may = words.join(dealt, ["token", "salt"]).where(fits).select("key", *place, "win").distinct()
+    hits = may.join(base.select(*own, "w").dropDuplicates(["key"]), "key").where(F.slice("w", F.col("start") + 1, F.col("k")) == F.col("win"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("k", "int"), ("wid", "bigint"))]
+    return base.select(*own, *none).unionAll(hits.select(*own, "start", "k", "wid"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs (doc_id, text).
 
@@ -61,33 +86,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts have no words and are clean; an item without words has no window; an item with a null item_id
     counts in n_hit but isn't listed; repeated rows are returned as often as they occur; other columns are ignored.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("doc_id"), words(F.col("text")).alias("w"))
+    return _judged(docs, benchmark).drop("key")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contamination() with the key of each row, which tells an id and its text."""
+    w = words(F.col("text"))
+    base = docs.select(row_key().alias("key"), "doc_id", w.alias("w")).select("key", "doc_id", F.size("w").cast("long").alias("n_words"), "w")
     wins, members = windows(benchmark)
-    index = prefixes(docs.select(words(F.col("text")).alias("w")), wins)
-    # Each document also has an empty word after its last one, under which an empty window is listed: every document has a row.
-    end = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(-1).cast("long").alias("wid"), F.array().cast("array<string>").alias("win"), F.lit(0).alias("offset"), F.lit(0).alias("k"))
-    index = _sized(cut(index.unionByName(end)), F.concat_ws(" ", "win"))
-    n = F.size("w")
-    met = base.select("rid", "doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "token")).join(index, "token")
-    start = F.col("pos") - F.col("offset")
-    found = met.where((start >= 0) & (start + F.col("k") <= n) & (F.slice("w", start + 1, F.col("k")) == F.col("win")))
-    hits = cut(found.select("rid", "doc_id", n.cast("long").alias("n_words"), start.alias("start"), "k", "wid"))
-    spans = hits.groupBy("rid", "doc_id", "n_words", "start").agg(F.max("k").alias("k"))
-    before = F.max(F.col("start") + F.col("k")).over(W.partitionBy("rid").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    met = cut(_met(base, cut(prefixes(docs.select(w.alias("w")), wins))))
+    hits = met.where("wid IS NOT NULL").select("key", "start", "k", "wid").distinct()
+    spans = hits.groupBy("key", "start").agg(F.max("k").alias("k"))
+    before = F.max(F.col("start") + F.col("k")).over(W.partitionBy("key").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     covered = F.greatest(F.lit(0), F.col("start") + F.col("k") - F.greatest("start", F.coalesce(before, F.lit(0))))
-    counted = spans.withColumn("n", covered).groupBy("rid", "doc_id", "n_words").agg(F.sum("n").alias("n_hit"))
-    items = hits.where("wid >= 0").select("rid", "wid").distinct().join(members, "wid").select("rid", "item_id").distinct()
-    items = items.groupBy("rid").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
-    out = counted.join(items, "rid", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated rows; the verdict is of the text, so id and hash of the text name the rows that go."""
-    text_hash = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), text_hash.alias("hash")).alias("doc_id"), "text")
-    dirty = contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.hash").alias("_hash")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), "left_anti")
+    counted = spans.withColumn("n", covered).groupBy("key").agg(F.sum("n").alias("n_hit"))
+    items = hits.select("key", "wid").distinct().join(members, "wid").select("key", "item_id").distinct()
+    items = items.groupBy("key").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
+    found = counted.join(items, "key", "left")
+    out = met.where("wid IS NULL").select("key", "doc_id", "n_words").join(found, "key", "left")
+    n, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
+    return out.select("key", "doc_id", "n_words", n.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), ((n > 0) & (20 * n >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0) -> DataFrame:
+    """docs without rows in which windows cover any word and at least least_share of the words.
+
+    A benchmark passage in a long text is a small share of it and leaks all the same, so any hit rejects by default. The verdict is
+    of id and text together: a clean row stays though it shares its id with one that goes. All columns stay, whatever their names;
+    null and empty texts stay; repeated rows share their fate.
+    """
+    key = fresh("key")
+    dirty = _judged(docs.select("doc_id", "text"), benchmark).where((F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words")))
+    dirty = cut(dirty.select(F.col("key").alias(key)).distinct())
+    return docs.withColumn(key, row_key()).join(_sized(dirty, F.col(key)), key, "left_anti").select(*columns_of(docs))
 
 
 SQL = r"""

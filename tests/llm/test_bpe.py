@@ -16,6 +16,10 @@ with open(PATH, "rb") as f:
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
+def as_lists(encoded):
+    return [np.frombuffer(x, "<u4").tolist() for x in encoded]
+
+
 def ids(text):
     return np.frombuffer(bpe.replay(PATH, P.PATTERN).encode([text])[0], "<u4").tolist()
 
@@ -24,7 +28,7 @@ def ids(text):
 @given(st.text(max_size=80))
 def test_any_text(text):
     assert ids(text) == LIBRARY.encode_ordinary(text)
-    assert bpe.replay(PATH, P.PATTERN).decode(np.array(ids(text), "<u4").tobytes()) == text.encode()
+    assert bpe.replay(PATH, P.PATTERN).decode([np.array(ids(text), "<u4").tobytes()]) == [text.encode()]
 
 
 def test_hard_texts():
@@ -36,7 +40,28 @@ def test_lower_ranks_that_a_merge_makes_come_first():
     """Pieces merged together give what each gives alone."""
     replay = bpe.Replay(PATH, P.PATTERN)
     pieces = [w.encode() for w in ("aaaaaaaa", "ththereere", " banananana", "xyzzyxyzzy", "------====", "eauxeauxionion")]
-    assert replay.replay(pieces) == [replay.replay([p])[0] for p in pieces]
+    assert replay.replay(pieces) == [replay.replay([p])[0] for p in pieces] == as_lists(replay.together(pieces))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=60), min_size=1, max_size=40), st.sampled_from([1, 7, 1 << 12]))
+def test_both_ways_of_replay_agree(pieces, step):
+    replay, was = bpe.replay(PATH, P.PATTERN), bpe.STEP
+    try:
+        bpe.STEP = step
+        assert as_lists(replay.together(pieces)) == replay.replay(pieces)
+    finally:
+        bpe.STEP = was
+
+
+def test_texts_of_megabytes_in_a_batch():
+    rng = np.random.default_rng(6)
+    many = " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(1, 12)))) for _ in range(200_000))
+    texts = ["", "x" * 300_000, many, "short", "", "ab" * 400 + " " + "\n" * 999, ""]
+    replay = bpe.replay(PATH, P.PATTERN)
+    got = replay.encode(texts)
+    assert as_lists(got) == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert replay.decode(got) == [t.encode() for t in texts]
 
 
 def test_query(spark, sf_dir):

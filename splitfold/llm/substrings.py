@@ -8,6 +8,8 @@ property that a difference cover is used for: two equal suffixes reach a sampled
 1. ``_sample``: each document's cover positions, by bucket of the string there; a bucket keeps those that at least two
    documents share. Other suffixes are unique.
 2. ``_pieces``: the bytes around each position that is left, dealt into buckets again.
+   What a batch can settle by itself is dealt evenly and doesn't meet in a bucket: a string that two documents of the batch
+   share, and all but the least document of equal pieces. So a frequent passage sends a row or two from each batch.
 3. ``_bucket``: one bucket at a time is sorted. The ranks of what follows the cover positions and of what precedes them, with
    the lengths of common prefixes, resolve every tie: two suffixes that start o bytes before their cover positions are equal
    if the ranks agree to o bytes back and to WIDTH - o bytes ahead. Of equal suffixes, the smallest doc_id is found.
@@ -34,8 +36,8 @@ PIECE = OFFSETS - 1 + WIDTH
 BUCKET_BYTES, LEAST_BUCKETS, FINER = 32 << 20, 12, 2
 #: Bytes that are hashed at a time; a longer text is cut into overlapping parts.
 BUFFER = 2 << 20
-#: Bytes of pieces that are dealt out at a time.
-PIECES = 48 << 20
+#: Bytes of pieces that are dealt out at a time, and how hard zstd presses them.
+PIECES, LEVEL = 48 << 20, 6
 #: A null doc_id counts as larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -106,28 +108,55 @@ def _packed(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _sample(buckets: int):
+    """Rows (bucket, data) of cover positions. Where two documents of a buffer share a string, its positions are settled, and
+    two witnesses, without a position, go to its bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, ends, heads in _buffers(_rows(batch)):
                 at, first, last, h = cover(raw, ends)
+                if not len(at):
+                    continue
                 which = np.searchsorted(ends, at, side="right")
                 base = np.r_[0, ends][which]
                 packed = _packed(at - base + heads[which, 2], first - base + heads[which, 2], last - base + heads[which, 2])
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                short = (h // np.uint64(buckets)).astype(np.uint32)
-                own = [(k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k] < edges[k + 1]]
-                if own:
-                    yield _dealt((k, _put(heads[which[i], :2], packed[i], short[i])) for k, i in own)
+                docs = heads[which, :2]
+                order = np.lexsort((docs[:, 0], h))
+                starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+                sizes = np.diff(np.r_[starts, len(h)])
+                least, most = order[starts], order[starts + sizes - 1]
+                several = docs[least, 0] < docs[most, 0]
+                settled = np.sort(order[np.repeat(several, sizes)])  # in order of places, which compresses well
+                witnesses = np.r_[least[several], most[several]]
+                alone = np.r_[np.sort(order[np.repeat(~several, sizes)]), witnesses]
+                where = packed[alone]
+                where[len(alone) - len(witnesses) :] = -1
+                bucket = (h[alone] % np.uint64(buckets)).astype(np.int64)
+                short = (h[alone] // np.uint64(buckets)).astype(np.uint32)
+                blobs = [(k, 0, _put(docs[alone[i]], where[i], short[i])) for k, i in _parts(bucket)]
+                if len(settled):
+                    blobs += [(k, 1, _put(docs[settled[i]], packed[settled[i]])) for k, i in _parts(_spread(docs[settled], buckets))]
+                yield _dealt(blobs)
 
     return run
 
 
+def _spread(docs: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets for settled rows: by groups of documents, so that their data stay together."""
+    return (_mixed((docs[:, 0] >> 6).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, and where."""
+    order = np.argsort(bucket, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]) if len(bucket) else np.zeros(0, np.int64)
+    return zip(bucket[order[starts]].tolist(), np.split(order, starts[1:]), strict=True) if len(bucket) else iter(())
+
+
 def _dealt(rows) -> pa.RecordBatch:
-    """Rows (bucket, data), compressed."""
-    press = zstandard.ZstdCompressor(level=3)
-    rows = [(k, press.compress(data)) for k, data in rows]
+    """Rows (bucket, data) of (bucket, whether data is settled, data); data is compressed."""
+    press = zstandard.ZstdCompressor(level=LEVEL)
+    rows = [(k, press.compress(bytes([settled]) + data)) for k, settled, data in rows]
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], ["bucket", "data"])
 
 
@@ -144,7 +173,7 @@ def _put(docs: np.ndarray, *columns: np.ndarray) -> bytes:
     return b"".join(x.tobytes() for x in parts)
 
 
-def _got(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+def _got(data: bytes | memoryview, *kinds: tuple[type, int]) -> list[np.ndarray]:
     """doc_id, key and the columns that _put() was given; kinds has the type and the width in items of each."""
     n_docs, n = (int(x) for x in np.frombuffer(data, np.int64, 2))
     docs = np.frombuffer(data, np.int64, 2 * n_docs, 16).reshape(-1, 2)
@@ -160,37 +189,56 @@ def _got(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
     return [docs[out[0], 0], docs[out[0], 1], *out[1:]]
 
 
-def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The data of one bucket after another, from rows (bucket, data) that are sorted by bucket."""
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int, memoryview]]]:
+    """Of one bucket after another, from rows (bucket, data) that are sorted by bucket: whether data is settled, and data."""
     press = zstandard.ZstdDecompressor()
-    rows = ((b, d) for batch in batches for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    rows = ((b, d) for batch in batches for b, d in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
     for _, own in groupby(rows, key=lambda x: x[0]):
-        yield [press.decompress(d) for _, d in own]
+        yield ((raw[0], memoryview(raw)[1:]) for raw in (press.decompress(d.as_buffer()) for _, d in own))
+
+
+#: What a document's data lists of its hits: cover positions and which suffixes, see _bucket.
+HIT = np.dtype([("at", "<i8"), ("mask", "<u4")])
+
 
+def _hits(at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at), HIT)
+    out["at"], out["mask"] = at, mask
+    return out
 
-def _by_document(doc: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, data): columns of each document, as bytes one after the other."""
+
+def _by_document(doc: np.ndarray, key: np.ndarray, column: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, data): the column's items of each document, as bytes."""
     order = np.lexsort((key, doc))
-    doc, key, columns = doc[order], key[order], [c[order] for c in columns]
+    doc, key, raw, width = doc[order], key[order], column[order].tobytes(), column.itemsize
     starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, np.int64)
     ends = np.r_[starts[1:], len(doc)]
     for at in range(0, len(starts), 20_000):
         s, e = starts[at : at + 20_000], ends[at : at + 20_000]
-        data = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+        data = [raw[i:j] for i, j in zip((s * width).tolist(), (e * width).tolist(), strict=True)]
         ids = pa.array(doc[s], mask=doc[s] == NULL_ID)
         yield pa.RecordBatch.from_arrays([ids, pa.array(key[s]), pa.array(data, pa.binary())], ["doc_id", "key", "data"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cover positions whose string at least two doc_ids share."""
-    for data in _in_buckets(batches):
-        doc, key, packed, h = (np.concatenate(x) for x in zip(*(_got(d, (np.int64, 1), (np.uint32, 1)) for d in data), strict=True))
+    for rows in _in_buckets(batches):
+        data = []
+        for settled, d in rows:
+            if settled:
+                yield from _by_document(*_got(d, (np.int64, 1)))
+            else:
+                data.append(_got(d, (np.int64, 1), (np.uint32, 1)))
+        if not data:
+            continue
+        doc, key, packed, h = (np.concatenate(x) for x in zip(*data, strict=True))
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
         sizes = np.diff(np.r_[starts, len(h)])
         sorted_docs = doc[order]
         several = np.minimum.reduceat(sorted_docs, starts) < np.maximum.reduceat(sorted_docs, starts)
         left = order[np.repeat(several, sizes)]
+        left = left[packed[left] >= 0]
         yield from _by_document(doc[left], key[left], packed[left])
 
 
@@ -207,12 +255,18 @@ def _pieces(buckets: int):
             def flush():
                 around, doc, key, packed = (np.concatenate(x) for x in zip(*made, strict=True))
                 h = _mixed(((around[:, OFFSETS - 1 : OFFSETS - 1 + GRAM].astype(np.uint64) + np.uint64(1)) * weights).sum(1, dtype=np.uint64))
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((h, bucket))  # equal strings stand together, which compresses well
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                whole, content = _contents(around, packed)
                 docs = np.c_[doc, key]
-                own = ((k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k] < edges[k + 1])
-                return _dealt((k, _gathered(docs[i], packed[i], around[i])) for k, i in own)
+                least = np.full(len(whole), NULL_ID)
+                np.minimum.at(least, content, doc)
+                settled = np.flatnonzero(least[content] < doc)
+                left = np.flatnonzero(least[content] == doc)
+                bucket = (h[left] % np.uint64(buckets)).astype(np.int64)
+                own = [(k, 0, _gathered(docs[left[i]], packed[left[i]], content[left[i]], whole)) for k, i in _parts(bucket)]
+                far, near = packed[settled] >> 5 & 31, packed[settled] & 31
+                mask = ((2 << far) - (1 << near)).astype(np.uint32)
+                own += [(k, 1, _put(docs[settled[i]], packed[settled[i]] >> 10, mask[i])) for k, i in _parts(_spread(docs[settled], buckets))]
+                return _dealt(own)
 
             for (doc, key, text), lists in zip(_rows(batch), batch.column(3), strict=True):
                 packed = np.frombuffer(b"".join(lists.as_py()), np.int64)
@@ -234,25 +288,31 @@ def _pieces(buckets: int):
     return run
 
 
-def _gathered(docs: np.ndarray, packed: np.ndarray, around: np.ndarray) -> bytes:
-    """Pieces with equal bytes once, and which of them each row has: what a frequent passage sends to its bucket is short."""
-    whole = np.zeros((len(docs), -(-(PIECE + 2) // 8) * 8), np.uint8)
+def _contents(around: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pieces, with how far before them suffixes start, and which of them each row has."""
+    whole = np.zeros((len(around), -(-(PIECE + 2) // 8) * 8), np.uint8)
     whole[:, :PIECE], whole[:, PIECE], whole[:, PIECE + 1] = around, packed >> 5 & 31, packed & 31
-    h = np.zeros(len(docs), np.uint64)
+    h = np.zeros(len(around), np.uint64)
     for word in whole.view(np.uint64).T:
         h = _mixed(h * _A + word)
     _, first, content = np.unique(h, return_index=True, return_inverse=True)
     if (whole[first[content]] != whole).any():  # different pieces of one hash: each row keeps its own
-        first = content = np.arange(len(docs))
+        return whole[:, : PIECE + 2], np.arange(len(around))
+    return whole[first, : PIECE + 2], content
+
+
+def _gathered(docs: np.ndarray, packed: np.ndarray, content: np.ndarray, whole: np.ndarray) -> bytes:
+    """Rows and each of their pieces once."""
+    used, content = np.unique(content, return_inverse=True)
     rows = _put(docs, packed, content.astype(np.uint32))
-    return len(rows).to_bytes(8, "little") + rows + whole[first, : PIECE + 2].tobytes()
+    return len(rows).to_bytes(8, "little") + rows + whole[used].tobytes()
 
 
-def _opened(data: list[bytes]) -> tuple[np.ndarray, ...]:
+def _opened(data: list[memoryview]) -> tuple[np.ndarray, ...]:
     """doc_id, key, cover position and piece of each row, and the pieces with how far before them suffixes start."""
     columns, pieces, n = [], [], 0
     for d in data:
-        size = int.from_bytes(d[:8], "little")
+        size = int.from_bytes(bytes(d[:8]), "little")
         doc, key, packed, content = _got(d[8 : 8 + size], (np.int64, 1), (np.uint32, 1))
         columns.append((doc, key, packed >> 10, content.astype(np.int64) + n))
         pieces.append(np.frombuffer(d, np.uint8, offset=8 + size).reshape(-1, PIECE + 2))
@@ -279,7 +339,16 @@ def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document, cover positions and which of the suffixes that reach them occur under a smaller doc_id: bit o is that
     of the suffix o bytes before."""
-    for data in _in_buckets(batches):
+    for rows in _in_buckets(batches):
+        data = []
+        for settled, d in rows:
+            if settled:
+                doc, key, at, mask = _got(d, (np.int64, 1), (np.uint32, 1))
+                yield from _by_document(doc, key, _hits(at, mask))
+            else:
+                data.append(d)
+        if not data:
+            continue
         doc, key, at, content, pieces = _opened(data)
         del data
         order = np.argsort(content, kind="stable")
@@ -299,19 +368,40 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found[own[order]] = np.repeat(np.minimum.reduceat(least[own[order]], starts), np.diff(np.r_[starts, len(own)]))
             mask |= (found[content] < doc).astype(np.uint32) << np.uint32(o)
         hit = mask > 0
-        yield from _by_document(doc[hit], key[hit], at[hit], mask[hit])
-
-
-def removed_bytes(n: int, data: list[bytes]) -> np.ndarray:
-    """Which of n bytes the suffixes of _bucket cover."""
-    starts = np.zeros(n + 1, np.int64)
-    for d in data:
-        k = len(d) // 12
-        at, mask = np.frombuffer(d, np.int64, k), np.frombuffer(d, np.uint32, k, 8 * k)
+        yield from _by_document(doc[hit], key[hit], _hits(at[hit], mask[hit]))
+
+
+def removed(texts: list[bytes], data: list[list[bytes] | None]) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Each text with the maximal runs (start, end) of its bytes that the suffixes of _bucket cover."""
+    at = 0
+    while at < len(texts):
+        size, end = len(texts[at]) + 1, at + 1
+        while end < len(texts) and size + len(texts[end]) < BUFFER:
+            size, end = size + len(texts[end]) + 1, end + 1
+        lists = [b"".join(d or ()) for d in data[at:end]]
+        bases = np.cumsum([0, *(len(t) + 1 for t in texts[at:end])])
+        hits = np.frombuffer(b"".join(lists), HIT)
+        place, mask = hits["at"] + np.repeat(bases[:-1], [len(x) // HIT.itemsize for x in lists]), hits["mask"]
+        starts = np.zeros(bases[-1], bool)
         for o in range(OFFSETS):
-            starts[at[mask >> np.uint32(o) & np.uint32(1) > 0] - o] = 1
-    total = np.cumsum(starts[:n])
-    return total > np.r_[np.zeros(min(WIDTH, n), np.int64), total[: max(0, n - WIDTH)]]
+            starts[place[mask >> np.uint32(o) & np.uint32(1) > 0] - o] = True
+        s = np.flatnonzero(starts)
+        # Texts are a byte apart, so no run goes on in the next one.
+        new = np.flatnonzero(np.r_[True, np.diff(s) > WIDTH]) if len(s) else np.zeros(0, np.int64)
+        begins, ends = s[new], (s[np.r_[new[1:], len(s)] - 1] if len(s) else s) + WIDTH
+        owner = np.searchsorted(begins, bases)
+        for k in range(end - at):
+            i, j, base = owner[k], owner[k + 1], int(bases[k])
+            yield texts[at + k], [(a - base, b - base) for a, b in zip(begins[i:j].tolist(), ends[i:j].tolist(), strict=True)]
+        at = end
+
+
+def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    at, out = 0, []
+    for a, b in runs:
+        out.append(text[at:a])
+        at = b
+    return b"".join([*out, text[at:]]) if runs else text
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -322,7 +412,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, text, data) of each row of docs (doc_id, text): data lists what removed_bytes() takes.
+    """(doc_id, key, text, data) of each row of docs (doc_id, text): data lists what removed() takes.
 
     Repeated rows are marked alike; a null doc_id counts as larger than any other, and rows that share an id never remove
     bytes from each other.
@@ -343,19 +433,18 @@ def marked(docs: DataFrame) -> DataFrame:
     return keyed.join(of_doc, same(of_doc), "left").select("doc_id", "key", "text", "data")
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    return removed(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs; null and empty texts have no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                gone = removed_bytes(len(text), data or [])
-                spans = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-                out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-            n, removed, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out = [(len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(text, runs)).hexdigest()) for text, runs in _each(batch)]
+            n, gone, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return marked(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -365,7 +454,6 @@ def kept_text(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [np.frombuffer(t, np.uint8)[~removed_bytes(len(t), d or [])].tobytes() for t, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], ["doc_id", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_kept(*x) for x in _each(batch)], pa.binary())], ["doc_id", "kept"])
 
     return marked(docs).mapInArrow(run, "doc_id long, kept binary")

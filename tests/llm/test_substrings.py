@@ -65,8 +65,29 @@ def test_pieces_are_kept_apart_when_hashes_collide(monkeypatch):
     for collide in (False, True):
         if collide:
             monkeypatch.setattr(substrings, "_mixed", lambda h: h * np.uint64(0))
-        doc, key, at, content, pieces = substrings._opened([substrings._gathered(docs, packed, around)] * 2)
+        whole, content = substrings._contents(around, packed)
+        doc, key, at, content, pieces = substrings._opened([memoryview(substrings._gathered(docs, packed, content, whole))] * 2)
         assert doc.tolist() == [*range(6)] * 2 and at.tolist() == [*range(6)] * 2 and not key.any()
         assert len(pieces) == (12 if collide else 10)
         assert (pieces[content][:, : substrings.PIECE] == np.r_[around, around]).all()
         assert (pieces[content][:, substrings.PIECE + 1] == np.r_[packed, packed] % 32).all()
+
+
+def test_query_by_brute_force(spark, sf_dir):
+    from splitfold.llm.queries import QUERIES
+
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted(map(tuple, QUERIES["op3_substrings"](spark, sf_dir).collect())) == brute(docs)
+
+
+def test_a_hot_string_and_texts_of_several_parts(spark):
+    """One passage in a third of all documents, with equal and with different surroundings; two texts longer than a part."""
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(map(chr, rng.integers(97, 117, n)))
+    passage, long = text(70), text(substrings.BUFFER + 4000)
+    docs = [(k, (passage + text(90) if k % 6 else "same before " + passage + " same after") if k % 3 == 0 else text(120)) for k in range(900)]
+    docs += [(2000, long), (2001, "x" + long[3000:]), (2002, long[-300:])]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    want = {r[0]: r[1:] for r in brute([(d, t.encode()) for d, t in docs if d < 2000])}
+    assert {d: r for d, r in got.items() if d < 2000} == want
+    assert got[2000][1:3] == (0, 0) and got[2001][1:3] == (len(long) - 3000, 1) and got[2002][1:3] == (300, 1)

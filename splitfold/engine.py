@@ -6,10 +6,10 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from splitfold.errors import BadRequest, PlanError
+from splitfold.errors import BadRequest, PlanError, running
 from splitfold.operators import MapStep, reduce_over, reduce_schema
 from splitfold.operators.views import fresh
 from splitfold.plans.guards import check_step
@@ -73,7 +73,8 @@ class Engine:
         kept = catalog.prune(query.map.partition_filter)
         splits = catalog.split_ids(kept, sid)
         size = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
-        stats = QueryStats(query_id, splits_kept=size.n, bytes_kept=size.bytes, warnings=list(query.warnings))
+        total = size.n if query.map.partition_filter is None else catalog.files().count()
+        stats = QueryStats(query_id, splits_kept=size.n, splits_total=total, bytes_kept=size.bytes, warnings=list(query.warnings))
         if size.n:
             # The reduce of an empty selection is neither checked nor run.
             check_step(self.spark, query.reduce.sql, query.map.name, f"reduce step {query.reduce.name}")
@@ -116,6 +117,18 @@ class Engine:
         steps = (Step(map_sql, map_name, StepType.MAP, partition_filter), Step(reduce_sql, "reduced", StepType.REDUCE))
         return self.run(StagedQuery(steps), strategy)
 
+    def collect(self, request: StagedQuery | str | bytes | dict, strategy: str | None = None) -> list[Row]:
+        """The rows of a request, computed now under its query's id; a job that fails is an ExecutionError."""
+        result = self.run(request, strategy)
+        began, context = time.perf_counter(), self.spark.sparkContext
+        context.setJobGroup(self.last.query_id, "staged query")
+        try:
+            with running(self.last.query_id):
+                return result.collect()
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+            self.last.run_ms = 1000 * (time.perf_counter() - began)
+
     def run_map(self, steps: list | str, splits: int | None = None, partition_filter: str | None = None) -> DataFrame:
         """The map step's rows alone, from the first ``splits`` splits by key, or all."""
         parsed = parse_steps(steps) if isinstance(steps, list) else (Step(steps, "mapped", StepType.MAP, partition_filter),)

@@ -3,7 +3,7 @@
 Three strategies give the same rows. ``direct`` runs a stateless query (projections and filters) once over all splits.
 ``lateral`` correlates the query with the table of splits; Catalyst decorrelates that into one plan in which the split is one
 more grouping key. ``per_split`` runs the query on each split and unions the results, for queries that Catalyst can't
-decorrelate; its plan grows with the splits, so they are limited.
+decorrelate; its plan grows with the splits, so of more than BATCH splits, each batch's rows are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splitfold.errors import NotImplementedQuery, PlanError, planning
+from splitfold.errors import PlanError, planning
 from splitfold.operators.views import fresh, over, quoted, viewed
+from splitfold.shipping import shared_folder
 
 DIRECT, LATERAL, PER_SPLIT = "direct", "lateral", "per_split"
-MAX_SPLITS = 200
+BATCH = 200
 #: Analysed nodes of a query without state.
 STATELESS = {"Project", "Filter", "SubqueryAlias", "CTERelationDef"}
 UNSUPPORTED = "UNSUPPORTED_SUBQUERY_EXPRESSION_CATEGORY"
@@ -68,18 +69,22 @@ class MapStep:
         return self._per_split(source, splits, sid, columns), PER_SPLIT
 
     def _lateral(self, source: DataFrame, splits: DataFrame, sid: str, columns: str) -> DataFrame:
-        own = fresh("sid")
+        own, each = fresh("sid"), fresh("split")
         with viewed(source, "src") as src, viewed(splits.select(F.col(sid).alias(own)), "splits") as ids:
             # The source's column sid is hidden from the query by the select list, and the split's by its fresh name.
-            body = f"WITH {quoted(self.name)} AS (SELECT {columns} FROM {src} WHERE {src}.{quoted(sid)} = p.{own}) SELECT * FROM (\n{self.sql}\n)"
-            return self.spark.sql(f"SELECT m.* FROM {ids} p, LATERAL ({body}) m")
+            body = f"WITH {quoted(self.name)} AS (SELECT {columns} FROM {src} WHERE {src}.{quoted(sid)} = {each}.{own}) SELECT * FROM (\n{self.sql}\n)"
+            return self.spark.sql(f"SELECT m.* FROM {ids} {each}, LATERAL ({body}) m")
 
     def _per_split(self, source: DataFrame, splits: DataFrame, sid: str, columns: str) -> DataFrame:
-        ids = [r[0] for r in splits.select(sid).limit(MAX_SPLITS + 1).collect()]
-        if len(ids) > MAX_SPLITS:
-            raise NotImplementedQuery(f"this map query must run split by split, and there are more than {MAX_SPLITS} splits")
-        parts = []
-        for x in sorted(ids):
-            with planning("map step"), viewed(source.where(F.col(sid) == F.lit(x)), "src") as view:
-                parts.append(self.spark.sql(over(self.name, view, self.sql, columns)))
-        return reduce(DataFrame.unionAll, parts)
+        ids = sorted(r[0] for r in splits.select(sid).collect())
+        batches = []
+        for at in range(0, len(ids), BATCH):
+            parts = []
+            for x in ids[at : at + BATCH]:
+                with planning("map step"), viewed(source.where(F.col(sid) == F.lit(x)), "src") as view:
+                    parts.append(self.spark.sql(over(self.name, view, self.sql, columns)))
+            batches.append(reduce(DataFrame.unionAll, parts))
+            if len(ids) > BATCH:
+                shared_folder(self.spark)
+                batches[-1] = batches[-1].checkpoint()
+        return reduce(DataFrame.unionAll, batches)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -38,3 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="splitfold-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """The path of a new folder in the shared one; it is deleted when the driver ends."""
+    folder = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder

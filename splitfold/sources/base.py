@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from abc import ABC, abstractmethod
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,18 @@ def file_uri():
     return F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
 
 
+#: Footers that are read at a time, each by a job of its own.
+CHECKS = 16
+
+
+def check_footers(spark: SparkSession, paths: list[str], expected: T.StructType, known: set[str]) -> None:
+    """check_footer() of each path that isn't known to pass, several at a time."""
+    new = [p for p in dict.fromkeys(paths) if p not in known]
+    with ThreadPoolExecutor(CHECKS) as pool:
+        list(pool.map(lambda p: check_footer(spark, p, expected), new))
+    known.update(new)
+
+
 def check_footer(spark: SparkSession, path: str, expected: T.StructType) -> None:
     """Compares a file's fields with the expected ones by position: name and type. Extra trailing fields of either side pass."""
     found = spark.read.parquet(path).schema
@@ -80,18 +93,18 @@ def check_footer(spark: SparkSession, path: str, expected: T.StructType) -> None
             raise PlanError(f"file {path} has field {have.name} {have.dataType.simpleString()} where {want.name} {want.dataType.simpleString()} is expected")
 
 
-def read_parquet(spark: SparkSession, kept: DataFrame, path_of, schema: T.StructType, partition_columns: list[str], sid: str, split_of, partitions: bool, strict: bool) -> DataFrame:
+def read_parquet(spark: SparkSession, kept: DataFrame, path_of, schema: T.StructType, partition_columns: list[str], sid: str, split_of, partitions: bool, checked: set[str] | None) -> DataFrame:
     """The rows of kept Parquet files. path_of and split_of give a row's path and split. Splits are told by each row's file;
-    only where partition columns or splits of several files are asked for, the file table is joined on."""
+    only where partition columns or splits of several files are asked for, the file table is joined on. checked holds the
+    files whose schema is known to be right; None leaves schemas unchecked."""
     rows = kept.collect()
     paths = [path_of(r) for r in rows]
     fields = [T.StructField(c, T.StringType()) for c in partition_columns]
     if not rows:
         wanted = [*schema.fields, *(f for f in fields if partitions), T.StructField(sid, T.StringType())]
         return spark.createDataFrame([], T.StructType(wanted))
-    if strict:
-        for p in paths:
-            check_footer(spark, p, schema)
+    if checked is not None:
+        check_footers(spark, paths, schema, checked)
     uris = file_uris(spark, paths)
     data = spark.read.schema(schema).parquet(*paths).select(*(F.col(f"`{c}`") for c in schema.names), file_uri().alias("__uri"))
     splits = [split_of(r) for r in rows]

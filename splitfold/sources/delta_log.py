@@ -22,9 +22,10 @@ READER_VERSION = 1
 
 
 class DeltaCatalog(CatalogTable):
-    def __init__(self, spark: SparkSession, root: str, strict: bool = False):
+    def __init__(self, spark: SparkSession, root: str, strict: bool = True):
         super().__init__(spark)
-        self.root, self.strict = root.rstrip("/"), strict
+        self.root = root.rstrip("/")
+        self._checked: set[str] | None = set() if strict else None
         if self.root.startswith("s3://"):
             self.root = "s3a://" + self.root[5:]
         actions = self._actions()
@@ -87,4 +88,4 @@ class DeltaCatalog(CatalogTable):
             key = unquote(r["key"])
             return key if ":/" in key or key.startswith("/") else f"{self.root}/{key}"
 
-        return read_parquet(self.spark, kept, path, self._schema, self._columns, sid, lambda r: r["key"], partitions, self.strict)
+        return read_parquet(self.spark, kept, path, self._schema, self._columns, sid, lambda r: r["key"], partitions, self._checked)

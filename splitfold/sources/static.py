@@ -22,14 +22,17 @@ class CatalogFile:
 
 
 class StaticCatalog(CatalogTable):
-    def __init__(self, spark: SparkSession, schema: T.StructType, root: str, partition_columns: list[str], files: list[CatalogFile], strict: bool = False):
+    """strict: each file's schema is checked before its first read."""
+
+    def __init__(self, spark: SparkSession, schema: T.StructType, root: str, partition_columns: list[str], files: list[CatalogFile], strict: bool = True):
         super().__init__(spark)
         for f in files:
             if len(f.partitions) != len(partition_columns):
                 raise CatalogError(f"file {f.key} has {len(f.partitions)} partition values for {len(partition_columns)} partition columns")
             if f.length < 0:
                 raise CatalogError(f"file {f.key} has a negative length")
-        self._schema, self.root, self._columns, self._files, self.strict = schema, root.rstrip("/"), list(partition_columns), list(files), strict
+        self._schema, self.root, self._columns, self._files = schema, root.rstrip("/"), list(partition_columns), list(files)
+        self._checked: set[str] | None = set() if strict else None
         self._split = {f.key: f.split or f.key for f in files}
 
     @property
@@ -52,4 +55,4 @@ class StaticCatalog(CatalogTable):
         return self.spark.createDataFrame([(x,) for x in ids], T.StructType([T.StructField(sid, T.StringType())]))
 
     def read(self, kept: DataFrame, sid: str, partitions: bool = True) -> DataFrame:
-        return read_parquet(self.spark, kept, lambda r: self.path(r["key"]), self._schema, self._columns, sid, lambda r: self._split[r["key"]], partitions, self.strict)
+        return read_parquet(self.spark, kept, lambda r: self.path(r["key"]), self._schema, self._columns, sid, lambda r: self._split[r["key"]], partitions, self._checked)

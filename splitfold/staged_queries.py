@@ -11,9 +11,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from splitfold.engine import Engine
-from splitfold.shipping import shared_folder
+from splitfold.shipping import scratch_folder
 from splitfold.sources import CatalogFile, DeltaCatalog, StaticCatalog, VirtualCatalog
 
 #: Virtual splits: table, partition column, its expression in Spark and in DuckDB.
@@ -168,6 +169,7 @@ _add("staged_where_string_range", "orders", "SELECT o_orderkey FROM t WHERE o_or
 _add("staged_predicates", "part", "SELECT p_partkey FROM t WHERE (p_size BETWEEN 3 AND 9 OR p_type LIKE '%A%') AND NOT p_brand IN ('Brand#11', 'Brand#12') AND p_name IS NOT NULL", "SELECT count(*) AS n FROM m", "SELECT CAST(count(*) AS BIGINT) AS n FROM src WHERE (p_size BETWEEN 3 AND 9 OR p_type LIKE '%A%') AND NOT p_brand IN ('Brand#11', 'Brand#12') AND p_name IS NOT NULL")
 _add("staged_nested_with", "orders", "WITH big AS (SELECT * FROM t WHERE o_totalprice > 1000) SELECT o_orderstatus, count(*) AS n FROM (SELECT o_orderstatus FROM big) x GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(n) AS n FROM m GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM src WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
 _add("staged_stddev_corr", "lineitem", "SELECT l_returnflag, stddev_samp(l_quantity) AS d, corr(l_quantity, l_extendedprice) AS c FROM t GROUP BY l_returnflag", "SELECT l_returnflag, round(avg(d), 6) AS d, round(avg(c), 6) AS c FROM m GROUP BY l_returnflag", _m("SELECT sid, l_returnflag, stddev_samp(l_quantity) AS d, corr(l_quantity, l_extendedprice) AS c FROM src GROUP BY sid, l_returnflag", "SELECT l_returnflag, round(avg(d), 6) AS d, round(avg(c), 6) AS c FROM m GROUP BY l_returnflag"))
+_add("prune_direct", "orders", "SELECT o_orderkey, yr FROM t WHERE o_totalprice > 1000", "SELECT o_orderkey, yr FROM m", "SELECT o_orderkey, yr FROM src WHERE o_totalprice > 1000 AND yr = '1996'", partition_filter="yr = '1996'")
 _add("prune_eq", "orders", "SELECT o_orderstatus, count(*) AS n FROM t GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(n) AS n FROM m GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM src WHERE yr = '1996' GROUP BY o_orderstatus", partition_filter="yr = '1996'")
 _add("prune_range", "lineitem", "SELECT l_returnflag, sum(l_quantity) AS q FROM t GROUP BY l_returnflag", "SELECT l_returnflag, sum(q) AS q FROM m GROUP BY l_returnflag", "SELECT l_returnflag, sum(l_quantity) AS q FROM src WHERE yr >= '1996' AND yr <= '1998' GROUP BY l_returnflag", partition_filter="yr >= '1996' AND yr <= '1998'")
 _add("prune_in_or_like", "orders", "SELECT yr, count(*) AS n FROM t GROUP BY yr", "SELECT yr, n FROM m", "SELECT yr, CAST(count(*) AS BIGINT) AS n FROM src WHERE yr IN ('1996', '1999') OR yr LIKE '%7' GROUP BY yr", partition_filter="yr IN ('1996', '1999') OR yr LIKE '%7'")
@@ -183,7 +185,8 @@ _add("fn_cast", "part", "SELECT p_partkey, CAST(p_size AS STRING) AS s, CAST(p_s
 _add("fn_hash", "part", "SELECT p_partkey, md5(p_name) AS h, sha2(p_name, 256) AS s FROM t", "SELECT * FROM m", "SELECT p_partkey, md5(p_name) AS h, sha256(p_name) AS s FROM src")
 _add("fn_json", "events", "SELECT event_id, get_json_object(props, '$.k') AS k, length(props) AS n FROM t", "SELECT k, count(*) AS n, sum(n) AS chars FROM m GROUP BY k", "SELECT json_extract_string(props, '$.k') AS k, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(props)) AS BIGINT) AS chars FROM src GROUP BY 1")
 _add("fn_array", "embeddings", "SELECT lab, size(embedding) AS n, CAST(element_at(embedding, 1) AS DOUBLE) AS x FROM t", "SELECT lab, max(n) AS n, round(max(x), 5) AS x FROM m GROUP BY lab", "SELECT lab, CAST(max(len(embedding)) AS INTEGER) AS n, round(max(CAST(embedding[1] AS DOUBLE)), 5) AS x FROM src GROUP BY lab")
-_add("approx_distinct", "events", "SELECT dy, approx_count_distinct(user_id) AS n, percentile_approx(value, 0.5) AS mid FROM t GROUP BY dy", "SELECT dy, n, mid FROM m", "")
+_add("approx_distinct", "events", "SELECT dy, approx_count_distinct(user_id, 0.01) AS n, count(DISTINCT user_id) AS exact FROM t GROUP BY dy", "SELECT dy, exact, abs(n - exact) <= 1 + 0.05 * exact AS near FROM m", "SELECT dy, CAST(count(DISTINCT user_id) AS BIGINT) AS exact, true AS near FROM src GROUP BY dy")
+_add("percentile_bounds", "events", "SELECT dy, percentile_approx(value, 0.5, 100000) AS mid, percentile(value, 0.25) AS low FROM t GROUP BY dy", "SELECT dy, mid, round(low, 6) AS low FROM m", "SELECT dy, list_sort(list(value))[CAST(ceil(0.5 * count(value)) AS BIGINT)] AS mid, round(quantile_cont(value, 0.25), 6) AS low FROM src GROUP BY dy")
 
 
 def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -219,31 +222,65 @@ def map_only_first_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.run_map("SELECT yr, o_orderstatus, count(*) AS n FROM t GROUP BY yr, o_orderstatus", splits=1)
 
 
-def _delta(spark: SparkSession, sf_dir: str) -> DeltaCatalog:
-    """A log of two versions in the shared folder: version 1 replaces customer's files by those of nation and of region's copy."""
-    import uuid
-
-    root = f"{shared_folder(spark)}/delta-{uuid.uuid4().hex}"
-    fields = [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("n_nationkey", "integer"), ("n_name", "string"), ("n_regionkey", "integer"), ("part", "string"))]
-    meta = {"metaData": {"schemaString": json.dumps({"type": "struct", "fields": fields}), "partitionColumns": ["part"]}}
-    old, new = (_files(spark, f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
-    add = lambda p, n, v: {"add": {"path": p, "size": n, "partitionValues": {"part": v}}}
-    versions = [[{"protocol": {"minReaderVersion": 1}}, meta, *(add(p, n, "old") for p, n in old)], [*({"remove": {"path": p}} for p, _ in old), *(add(p, n, "new") for p, n in new)]]
+def map_only_stateless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    column, expression, _ = SPLITS["orders"]
+    engine = Engine(spark).add_catalog("t", VirtualCatalog(spark.read.parquet(f"{sf_dir}/orders.parquet"), {column: expression}))
+    return engine.run_map("SELECT yr, o_orderkey FROM t WHERE o_orderstatus = 'F'", splits=2, partition_filter="yr > '1996'")
+
+
+def _by_year(spark: SparkSession, sf_dir: str) -> tuple[str, list[tuple[str, int, str]]]:
+    """orders in the shared folder with a file or more for each year: the folder, and each file's key, bytes and year."""
+    root = scratch_folder(spark, "orders")
+    column, expression, _ = SPLITS["orders"]
+    spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("*", f"{expression} AS {column}").repartition(3, "o_custkey").write.mode("overwrite").partitionBy(column).parquet(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True)
+    files = []
+    while found.hasNext():
+        status = found.next()
+        at = status.getPath().toString()
+        if at.endswith(".parquet"):
+            year = at.split(f"/{column}=")[1].split("/")[0]
+            files.append((f"{column}={year}/{status.getPath().getName()}", status.getLen(), year))
+    return root, sorted(files)
+
+
+def static_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A static catalog of several files a year, which a split holds together; the filter prunes years."""
+    root, files = _by_year(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    catalog = StaticCatalog(spark, schema, root, ["yr"], [CatalogFile(k, n, (y,), y) for k, n, y in files])
+    return Engine(spark).add_catalog("t", catalog).query("SELECT yr, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM t GROUP BY yr", "SELECT yr, customers, n FROM m", "yr >= '1996' AND yr <> '1998'", "m")
+
+
+def _log(spark: SparkSession, root: str, schema, partition: str, versions: list[list[dict]]) -> DeltaCatalog:
+    """A catalog of a log under root; the first version also gets the metadata."""
+    fields = [{"name": f.name, "type": f.dataType.typeName(), "nullable": True, "metadata": {}} for f in schema]
+    meta = {"metaData": {"schemaString": json.dumps({"type": "struct", "fields": [*fields, {"name": partition, "type": "string", "nullable": True, "metadata": {}}]}), "partitionColumns": [partition]}}
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for k, actions in enumerate(versions):
         out = fs.create(path(f"{root}/_delta_log/{k:020d}.json"))
-        out.write(bytearray("".join(json.dumps(a) + "\n" for a in actions).encode()))
+        out.write(bytearray("".join(json.dumps(a) + "\n" for a in ([{"protocol": {"minReaderVersion": 1}}, meta, *actions] if k == 0 else actions)).encode()))
         out.close()
     return DeltaCatalog(spark, root)
 
 
+def _delta(spark: SparkSession, sf_dir: str) -> DeltaCatalog:
+    """A log of orders by year in three versions: the second removes 1996 and 1997, the third adds 1997 again."""
+    root, files = _by_year(spark, sf_dir)
+    add = [{"add": {"path": k, "size": n, "partitionValues": {"yr": y}}} for k, n, y in files]
+    gone = [{"remove": {"path": k}} for k, _, y in files if y in ("1996", "1997")]
+    again = [a for a in add if a["add"]["partitionValues"]["yr"] == "1997"]
+    return _log(spark, root, spark.read.parquet(f"{sf_dir}/orders.parquet").schema, "yr", [add, gone, again])
+
+
 def delta_latest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _delta(spark, sf_dir).files().selectExpr("part", "count(*) OVER () AS n_files")
+    return _delta(spark, sf_dir).files().groupBy("yr").agg(F.min(F.col("length") > 0).alias("filled"))
 
 
 def delta_partitioned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark).add_catalog("t", _delta(spark, sf_dir)).query("SELECT part, n_regionkey, count(*) AS n FROM t GROUP BY part, n_regionkey", "SELECT part, n_regionkey, sum(n) AS n FROM m GROUP BY part, n_regionkey", "part = 'new'", "m")
+    return Engine(spark).add_catalog("t", _delta(spark, sf_dir)).query("SELECT yr, o_orderstatus, count(*) AS n FROM t GROUP BY yr, o_orderstatus", "SELECT yr, o_orderstatus, sum(n) AS n FROM m GROUP BY yr, o_orderstatus", "yr BETWEEN '1996' AND '1999'", "m")
 
 
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -251,8 +288,10 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "static_multi_file_split": (static_multi_file_split, "SELECT CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS rows FROM customer"),
     "file_table_listing": (file_table_listing, "SELECT CAST(year(o_orderdate) AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS length, CAST(year(o_orderdate) AS VARCHAR) AS yr FROM orders GROUP BY 1"),
     "map_only_first_split": (map_only_first_split, "WITH o AS (SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS yr FROM orders) SELECT yr, o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM o WHERE yr = (SELECT min(yr) FROM o) GROUP BY yr, o_orderstatus"),
-    "delta_latest_listing": (delta_latest_listing, "SELECT 'new' AS part, CAST(1 AS BIGINT) AS n_files"),
-    "delta_partitioned_scan": (delta_partitioned_scan, "SELECT 'new' AS part, n_regionkey, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY n_regionkey"),
+    "map_only_stateless": (map_only_stateless, "WITH o AS (SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS yr FROM orders) SELECT yr, o_orderkey FROM o WHERE o_orderstatus = 'F' AND yr IN (SELECT DISTINCT yr FROM o WHERE yr > '1996' ORDER BY yr LIMIT 2)"),
+    "static_by_year": (static_by_year, "SELECT CAST(year(o_orderdate) AS VARCHAR) AS yr, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers, CAST(count(*) AS BIGINT) AS n FROM orders WHERE year(o_orderdate) >= 1996 AND year(o_orderdate) <> 1998 GROUP BY 1"),
+    "delta_latest_listing": (delta_latest_listing, "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS yr, true AS filled FROM orders WHERE year(o_orderdate) <> 1996"),
+    "delta_partitioned_scan": (delta_partitioned_scan, "SELECT CAST(year(o_orderdate) AS VARCHAR) AS yr, o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 1999 GROUP BY 1, 2"),
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q.run for k, q in STAGED.items()} | {k: f for k, (f, _) in OTHERS.items()}
 ORACLE: dict[str, str] = {k: q.sql() for k, q in STAGED.items() if q.oracle} | {k: sql for k, (_, sql) in OTHERS.items()}

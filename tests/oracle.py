@@ -14,7 +14,7 @@ def connect(sf_dir: str):
 
 
 def written(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or (pd.api.types.is_scalar(value) and pd.isna(value)):
         return "NULL"
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 

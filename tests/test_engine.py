@@ -71,6 +71,71 @@ def test_strategies_agree(engine, sql):
     assert ways["lateral"] == ways["per_split"] == ways[None]
 
 
+@pytest.fixture(scope="module")
+def kinds(spark, sf_dir, orders, tmp_path_factory):
+    """The three kinds of catalogs over the same rows and years."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    fields = [{"name": f.name, "type": f.dataType.typeName(), "nullable": True, "metadata": {}} for f in orders.data_schema] + [{"name": "yr", "type": "string", "nullable": True, "metadata": {}}]
+    root = tmp_path_factory.mktemp("log")
+    import json
+
+    _log(root, [[{"metaData": {"schemaString": json.dumps({"type": "struct", "fields": fields}), "partitionColumns": ["yr"]}}, *(_add(orders.path(f.key).replace(" ", "%20"), f.length, None) | {"add": {"path": orders.path(f.key).replace(" ", "%20"), "size": f.length, "partitionValues": {"yr": f.partitions[0]}}} for f in orders._files)]])
+    return {"static": orders, "delta": DeltaCatalog(spark, str(root)), "virtual": VirtualCatalog(df, {"yr": "CAST(year(o_orderdate) AS STRING)"})}
+
+
+@pytest.mark.parametrize("kind", ["static", "delta", "virtual"])
+@pytest.mark.parametrize("sql", ["SELECT o_orderkey FROM t WHERE o_totalprice > 1000", "SELECT yr, o_orderkey FROM t", "SELECT o_orderstatus, count(*) AS n FROM t GROUP BY o_orderstatus"])
+def test_filters_hold_under_each_strategy_and_catalog(spark, kinds, kind, sql):
+    e = Engine(spark).add_catalog("t", kinds[kind])
+    ways = ["lateral", "per_split", None] + (["direct"] if "GROUP" not in sql else [])
+    got_by = [got(e.query(sql, "SELECT * FROM mapped", "yr IN ('1996', '1998')", strategy=s)) for s in ways]
+    assert all(g == got_by[0] for g in got_by) and (e.last.splits_kept, e.last.splits_total) == (2, 7)
+    years = "SELECT yr, count(*) AS n FROM t GROUP BY yr"
+    assert [r.yr for r in sorted(e.query(years, "SELECT * FROM mapped", "yr IN ('1996', '1998')").collect())] == ["1996", "1998"]
+
+
+def test_stateless_map_of_some_splits_only(spark):
+    df = spark.createDataFrame([("1995", 1), ("1996", 2), ("1997", 3)], "y string, v int")
+    e = Engine(spark).add_catalog("t", VirtualCatalog(df, {"yr": "y"}))
+    assert got(e.query("SELECT v FROM t", "SELECT v FROM mapped", "yr = '1996'")) == [(2,)]
+    assert got(e.run_map("SELECT v FROM t", splits=1)) == [(1,)]
+
+
+def test_odd_keys_and_names_of_virtual_files(spark):
+    rows = [("a/b", "c", 1), ("a", "b/c", 2), (None, "x", 3), ("__null__", "x", 4), ("a\\", "/c", 5), ("a\\/", "c", 6)]
+    df = spark.createDataFrame(rows, "p string, q string, m int")
+    e = Engine(spark).add_catalog("t", VirtualCatalog(df, {"one": "p", "two": "q"}))
+    assert got(e.query("SELECT count(*) AS n FROM t", "SELECT n, count(*) AS splits FROM mapped GROUP BY n")) == [(1, 6)]
+    assert got(e.query("SELECT p, m, count(*) AS n FROM t GROUP BY p, m", "SELECT m, n FROM mapped", "one IS NULL")) == [(3, 1)]
+
+
+def test_grouping_sets_over_many_splits(spark, monkeypatch):
+    from splitfold.operators import mapper
+
+    monkeypatch.setattr(mapper, "BATCH", 3)
+    df = spark.createDataFrame([(k % 7, k % 2, k) for k in range(70)], "s int, g int, v int")
+    e = Engine(spark).add_catalog("t", VirtualCatalog(df, {"sid": "s"}))
+    out = e.query("SELECT g, sum(v) AS v FROM t GROUP BY ROLLUP (g)", "SELECT g, sum(v) AS v, count(*) AS n FROM mapped GROUP BY g")
+    assert e.last.strategy == "per_split" and got(out) == sorted([(0, sum(range(0, 70, 2)), 7), (1, sum(range(1, 70, 2)), 7), (None, sum(range(70)), 7)], key=str)
+
+
+def test_failing_jobs_are_execution_errors(engine):
+    from splitfold.errors import ExecutionError
+    from splitfold.request import StagedQuery, Step, StepType
+
+    steps = lambda sql: StagedQuery((Step(sql, "m", StepType.MAP, None), Step("SELECT * FROM m", "r", StepType.REDUCE)))
+    with pytest.raises(ExecutionError):
+        engine.collect(steps("SELECT raise_error('no') AS x FROM t"))
+    assert len(engine.collect(steps("SELECT yr, count(*) AS n FROM t GROUP BY yr"))) == 7 and engine.last.run_ms > 0
+
+
+def test_schemas_are_checked_by_default(spark, orders):
+    wrong = T.StructType([T.StructField("o_orderkey", T.StringType()), *orders.data_schema.fields[1:]])
+    e = Engine(spark).add_catalog("t", StaticCatalog(spark, wrong, orders.root, ["yr", "odd"], orders._files))
+    with pytest.raises(PlanError):
+        e.query("SELECT o_orderkey FROM t", "SELECT * FROM mapped")
+
+
 def test_strategy_is_reported_and_checked(engine):
     engine.query("SELECT o_orderkey FROM t", "SELECT * FROM mapped")
     assert engine.last.strategy == "direct"
@@ -249,5 +314,7 @@ def test_cli(spark, tmp_path, orders, capsys):
     request = {"steps": [{"sql": "SELECT count(*) AS n FROM o", "name": "m", "step_type": "map"}, {"sql": "SELECT sum(n) AS n FROM m", "name": "r", "step_type": "reduce"}], "capacity": {"zones": 1}, "catalogs": [{"name": "o", "uri": "mine", "type": "Static"}]}
     (tmp_path / "q.json").write_text(json.dumps(request))
     assert main(["run", str(tmp_path / "q.json")]) == 0 and "1500" in capsys.readouterr().out
+    (tmp_path / "steps.json").write_text(json.dumps(request["steps"]))
+    assert main(["map", str(tmp_path / "steps.json"), "--catalog", "o=mine", "--splits", "1"]) == 0 and "|n " in capsys.readouterr().out
     (tmp_path / "bad.json").write_text("{}")
     assert main(["run", str(tmp_path / "bad.json")]) == 1

@@ -9,10 +9,6 @@ def test_query_agrees_with_duckdb(name, spark, sf_dir):
     assert_same(QUERIES[name], ORACLE[name], spark, sf_dir)
 
 
-def test_approx_distinct_is_near(spark, sf_dir):
-    assert QUERIES["approx_distinct"](spark, sf_dir).where("n <= 0").count() == 0
-
-
 def test_entry(spark):
     import __spark_entry__
 

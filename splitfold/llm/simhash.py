@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import cut
+from splitfold.llm.common import columns_of, cut, fresh
 from splitfold.llm.graph import components
 from splitfold.shipping import ship
 
@@ -27,6 +27,10 @@ MIN_BYTES = 8 - MAX_BITS
 LISTS = list(combinations(range(8), MIN_BYTES))
 #: Shingles hashed at a time, and the list size from which neighbours are enumerated instead of compared.
 CHUNK, ENUMERATE = 1 << 15, 1 << 12
+#: Members of a large list whose neighbours are looked up at a time.
+LOOKED_UP = 256
+#: A fingerprint with more than one in so many rows is joined by broadcast; there can be no more of them than this.
+HOT_SHARE = 200
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -113,26 +117,29 @@ def _forest(fps: np.ndarray, places: tuple[int, ...]) -> Iterator[tuple[np.uint6
         return
     bits = np.array([np.uint64(1) << np.uint64(8 * p + b) for p in range(8) if p not in places for b in range(8)])
     masks = np.array([np.bitwise_or.reduce(bits[list(c)]) for n in range(1, MAX_BITS + 1) for c in combinations(range(len(bits)), n)])
-    left, order = np.ones(len(fps), bool), np.sort(fps)
-    for start in range(len(order)):
-        if not left[start]:
-            continue
-        left[start], queue = False, [start]
-        while queue:
-            one = order[queue.pop()]
-            found = np.searchsorted(order, one ^ masks)
-            found = found[found < len(order)]
-            found = np.unique(found[left[found] & np.isin(order[found] ^ one, masks)])
-            left[found] = False
-            for other in order[found]:
-                yield one, other
-            queue.extend(found.tolist())
+    order, root = np.sort(fps), list(range(len(fps)))
+    for start in range(0, len(order), LOOKED_UP):
+        wanted = order[start : start + LOOKED_UP, None] ^ masks
+        found = np.minimum(np.searchsorted(order, wanted), len(order) - 1)
+        one, which = np.nonzero(order[found] == wanted)
+        other = found[one, which]
+        later = other > one + start
+        for i, j in zip((one[later] + start).tolist(), other[later].tolist(), strict=True):
+            a, b = _root(root, i), _root(root, j)
+            if a != b:
+                root[b] = a
+                yield order[i], order[j]
+
+
+def _root(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = i = root[root[i]]
+    return i
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by list; keeps no more than a batch and the list that goes on in the next."""
+    """From postings sorted by list; keeps no more than a batch and the list that goes on in the next, put together once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def made(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -148,14 +155,20 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b.append(np.array(other, np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], schema=schema)
 
+    parts: list[tuple[np.ndarray, np.ndarray]] = []  # of one list that may go on
     for batch in batches:
-        keys = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False)]
-        fps = np.r_[fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-        if len(keys) and keys[0] != keys[-1]:
-            end = np.searchsorted(keys, keys[-1])
-            yield made(keys[:end], fps[:end])
-            keys, fps = keys[end:], fps[end:]
-    yield made(keys, fps)
+        keys, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        if not len(keys):
+            continue
+        end = int(np.searchsorted(keys, keys[-1]))
+        if parts and keys[0] == keys[-1] == parts[0][0][0]:
+            parts.append((keys, fps))
+            continue
+        whole = [*parts, (keys[:end], fps[:end])]
+        yield made(np.concatenate([k for k, _ in whole]), np.concatenate([f for _, f in whole]))
+        parts = [(keys[end:], fps[end:])]
+    if parts:
+        yield made(np.concatenate([k for k, _ in parts]), np.concatenate([f for _, f in parts]))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -176,26 +189,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _with_components(rows: DataFrame) -> DataFrame:
     """rows of fingerprints() with root, one fingerprint that stands for the component, and component_id."""
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = cut(components(links(distinct)))
-    classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    roots = cut(components(cut(links(distinct))))
+    classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = classes.join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(component, "fp")
+    component = cut(classes.join(ids, "root").select("fp", "n", "root", "component_id"))
+    # A fingerprint that many rows share is joined where its rows are; at most HOT_SHARE can have so many.
+    hot = F.col("n") > (distinct.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    many = F.broadcast(component.where(hot).drop("n"))
+    rest = rows.join(F.broadcast(component.where(hot).select("fp")), "fp", "left_anti").join(component.where(~hot).drop("n"), "fp")
+    return rows.join(many, "fp").unionByName(rest)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate component: the one with its smallest id, then hash of the text; null ids come last.
 
     Rows with the same id and text are in the same component, so id and hash name the row; of repeated such rows any one stays.
+    Null and empty texts are one component with other texts of fingerprint 0. All columns stay, whatever their names.
     """
     found = _with_components(cut(fingerprints(docs, id_col, text_col, hashed=True)))
     of_key = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("n"))).alias("x")
-    keep = of_key.groupBy("root").agg(least).select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("x.n").alias("_n"))
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_hash(text_col) == F.col("_hash")))
-    once = kept.where("_n = 1").drop("_id", "_hash", "_n")
-    return once.unionAll(kept.where("_n > 1").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash", "_n"))
+    own, known, n = fresh("id"), fresh("hash"), fresh("n")
+    keep = of_key.groupBy("root").agg(least).select(F.col("x.doc_id").alias(own), F.col("x.text_hash").alias(known), F.col("x.n").alias(n))
+    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (text_hash(text_col) == F.col(known)))
+    once, repeated = kept.where(F.col(n) == 1), kept.where(F.col(n) > 1).dropDuplicates([own, known])
+    return once.unionAll(repeated).select(*columns_of(docs))
 
 
 def hex_digits(fp: str = "fp"):

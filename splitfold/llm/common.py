@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from splitfold.operators.views import fresh, quoted
 from splitfold.shipping import shared_folder, ship
 
-__all__ = ["FOLDS", "HELD_OUT", "bounded_sample", "columns_of", "cut", "fresh", "held_out", "row_key", "sample_of_each", "scored", "table"]
+__all__ = ["FOLDS", "HELD_OUT", "bounded_sample", "class_sizes", "columns_of", "cut", "fresh", "held_out", "row_key", "sample_of_each", "scored", "table"]
 
 #: A model learns labels only from rows whose remainder isn't HELD_OUT.
 FOLDS, HELD_OUT = 5, 0
@@ -59,21 +59,35 @@ def scored(column: str | Column, schema: str, load: Callable[[], Callable[[pd.Se
     return run(F.col(column) if isinstance(column, str) else column)
 
 
-def sample_of_each(rows: DataFrame, column: str, most: int, salt: str, classes: int = 256) -> DataFrame:
-    """(doc_id, column): at most ``most`` ids of each value of column, by a hash of the id; of its ``classes`` commonest values.
+def class_sizes(rows: DataFrame, column: str) -> dict:
+    """How many rows each value of column has; the values must be classes, whose number doesn't grow with the rows."""
+    return {r[column]: r["n"] for r in rows.groupBy(column).agg(F.count("*").alias("n")).collect()}
 
-    Before anything is ranked, ids whose hash is so large that about twice as many come before them are left out, so the
-    rows that are ranked are bounded too, however large the input.
+
+def sample_of_each(rows: DataFrame, column: str, most: int, salt: str, sizes: dict | None = None) -> DataFrame:
+    """(doc_id, column): ``most`` different ids of each value of column, or all if there are fewer; those with the least hashes.
+
+    Of each value, only ids below a limit are drawn and told apart, so few rows are ranked however large the input. The first
+    limit lets about twice as many rows pass as are asked for; where repeated rows leave too few ids, it is raised and they
+    are drawn again. sizes: class_sizes() of rows, if known. The result is written to the shared folder.
     """
-    totals = rows.groupBy(column).count().orderBy(F.desc("count"), column).limit(classes).collect()
-    if not totals:
+    sizes = class_sizes(rows, column) if sizes is None else sizes
+    sizes = {k: n for k, n in sizes.items() if k is not None}
+    if not sizes:
         return rows.select("doc_id", column).limit(0)
     whole = 1 << 30
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(whole))
-    limits = F.create_map(*(F.lit(x) for r in totals for x in (r[column], min(whole, 1 + whole * 2 * most // r["count"]))))
-    few = rows.select("doc_id", column).where(h < limits[F.col(column)]).distinct()
-    place = F.row_number().over(W.partitionBy(column).orderBy(h, "doc_id"))
-    return few.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    limits = {k: min(whole, 1 + whole * 2 * most // n) for k, n in sizes.items()}
+    while True:
+        known = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
+        few = cut(rows.select("doc_id", column).where(h < known[F.col(column)]).distinct())
+        drawn = class_sizes(few, column)
+        short = [k for k in limits if drawn.get(k, 0) < most and limits[k] < whole]
+        if not short:
+            break
+        limits |= {k: min(whole, 8 * limits[k]) for k in short}
+    place, ranked = F.row_number().over(W.partitionBy(column).orderBy(h, "doc_id")), fresh("place")
+    return few.withColumn(ranked, place).where(F.col(ranked) <= most).drop(ranked)
 
 
 def bounded_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:

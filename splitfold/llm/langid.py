@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import cut, held_out, sample_of_each, scored
+from splitfold.llm.common import class_sizes, held_out, sample_of_each, scored
 from splitfold.shipping import ship
 
-#: Hashed n-grams; labelled rows of each language that weights are fitted on, and languages, at most.
-DIMENSIONS, NGRAMS, PER_LANGUAGE, MAX_LANGUAGES = 1 << 16, (1, 2, 3), 800, 256
-#: And labelled rows in all, at most, or 20 of each language if that is more.
-MOST_ROWS = 6400
+#: Hashed n-grams; labelled rows of each language that weights are fitted on, at most.
+DIMENSIONS, NGRAMS, PER_LANGUAGE = 1 << 16, (1, 2, 3), 800
+#: And labelled rows in all, at most, or LEAST_EACH of each language if that is more: no language goes unlearned.
+MOST_ROWS, LEAST_EACH = 6400, 20
+#: N-grams of a labelled row that weights are fitted on: its commonest. Predictions use all.
+FIT_NGRAMS = 2048
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-4, 3
 #: Characters that are hashed at a time, so that a very long text needs little memory.
 CHUNK = 1 << 20
@@ -51,7 +53,9 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # DIMENSIONS x languages
+    starts: np.ndarray  # of each n-gram, where its weights that aren't zero start
+    columns: np.ndarray  # their languages
+    weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
 
@@ -60,7 +64,16 @@ class Model:
         return f, tfidf(f, n, self.idf)
 
     def logits(self, f: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights[f] + self.bias
+        n = self.starts[f + 1] - self.starts[f]
+        at = np.repeat(self.starts[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.columns[at], np.repeat(x, n) * self.weights[at], len(self.bias)) + self.bias
+
+
+def sparse(languages: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> Model:
+    """A model of the weights that aren't zero; weights: DIMENSIONS x languages."""
+    f, columns = np.nonzero(weights)
+    starts = np.searchsorted(f, np.arange(len(weights) + 1))
+    return Model(languages, idf.astype(np.float32), starts, columns.astype(np.int32), weights[f, columns].astype(np.float32), bias.astype(np.float32))
 
 
 def tfidf(f: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -126,33 +139,38 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame) -> Model | None:
     """From text and non-null lang of the learnable rows of docs (doc_id, text, lang); None if there are none.
 
-    At most PER_LANGUAGE rows of each of at most MAX_LANGUAGES languages fit the weights; a fifth of them fits the
-    temperature instead. Document frequencies are of all learnable rows.
+    At most PER_LANGUAGE different ids of each language, fewer where there are many languages, fit the weights, by their
+    FIT_NGRAMS commonest n-grams; a fifth of them fits the temperature instead. Document frequencies are of all learnable rows,
+    repeated ones included. A null text counts as empty; an id with several languages may teach each; ids and languages that
+    tie are taken in order of hash, id and name; other columns are ignored.
     """
     learn = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    each = max(20, min(PER_LANGUAGE, MOST_ROWS // max(1, learn.select("lang").distinct().limit(MAX_LANGUAGES).count())))
-    ids = cut(sample_of_each(learn.select("doc_id", "lang"), "lang", each, "language", MAX_LANGUAGES))
-    languages = sorted(r.lang for r in ids.select("lang").distinct().collect())
-    if not languages:
+    sizes = class_sizes(learn, "lang")
+    if not sizes:
         return None
-    sample = cut(learn.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text"))
+    languages = sorted(sizes)
+    ids = sample_of_each(learn.select("doc_id", "lang"), "lang", max(LEAST_EACH, min(PER_LANGUAGE, MOST_ROWS // len(languages))), "language", sizes)
     idf = inverse_frequencies(learn)
 
     def load():
-        def run(batch: pd.Series) -> pd.DataFrame:
-            found = [counts(t or "") for t in batch]
-            return pd.DataFrame({"f": [f.astype("<i4").tobytes() for f, _ in found], "n": [n.astype("<i8").tobytes() for _, n in found]})
-
-        return run
-
-    got = sample.select("doc_id", "lang", scored("text", "f binary, n binary", load).alias("r")).select("doc_id", "lang", "r.*").orderBy("doc_id", "lang").collect()
-    rows = []
+        def one(text: str | None) -> tuple[bytes, bytes]:
+            f, n = counts(text or "")
+            if len(f) > FIT_NGRAMS:
+                most = np.sort(np.lexsort((f, -n))[:FIT_NGRAMS])
+                f, n = f[most], n[most]
+            return f.astype("<i4").tobytes(), n.astype("<i4").tobytes()
+
+        return lambda batch: pd.DataFrame([one(t) for t in batch], columns=["f", "n"])
+
+    sample = learn.join(F.broadcast(ids), ["doc_id", "lang"])
+    got = sample.select("doc_id", "lang", scored("text", "f binary, n binary", load).alias("r")).select("doc_id", "lang", "r.*").collect()
+    got.sort(key=lambda r: (r.doc_id, r.lang, r.f, r.n))  # a bounded sample; sorting it in Spark would compute it twice
+    rows, number = [], {name: k for k, name in enumerate(languages)}
     for r in got:
         f = np.frombuffer(r.f, "<i4").astype(np.int64)
-        rows.append((f, tfidf(f, np.frombuffer(r.n, "<i8"), idf), languages.index(r.lang)))
+        rows.append((f, tfidf(f, np.frombuffer(r.n, "<i4"), idf), number[r.lang]))
     fit = [r for k, r in enumerate(rows) if k % 5 or len(rows) < 5]
-    weights, bias = ftrl(fit, len(languages))
-    model = Model(languages, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32))
+    model = sparse(languages, idf, *ftrl(fit, len(languages)))
     kept = rows[::5]
     z = np.array([model.logits(f, x) for f, x, _ in kept]).reshape(-1, len(languages))
     model.temperature = temperature(z, np.array([y for _, _, y in kept]))
@@ -160,7 +178,8 @@ def train(docs: DataFrame) -> Model | None:
 
 
 def predict(text_col: str | Column, model: Model | None) -> Column:
-    """A struct of lang_pred and score, the calibrated probability; und with score 0 for null, texts without a letter, or no model."""
+    """A struct of lang_pred and score, the calibrated probability; und with score 0 for null, texts without a letter, or no model.
+    Whole texts count; languages that tie go by name; equal texts get equal values."""
 
     def load():
         def one(text: str | None) -> tuple[str, float]:

@@ -114,20 +114,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """From at most POSITIVES learnable documents with quality 1 and at most UNLABELLED learnable ones, whose labels aren't
-    looked at; None without either."""
+    looked at; None without either.
+
+    The bounds are of different ids: repeated rows, in either table, take no other's place, but each row of a drawn id counts in
+    the fit. Null ids and labels teach nothing; null and empty texts have the features of an empty one; only doc_id, text and
+    quality are read, whatever other columns there are.
+    """
     good = sample_of_each(labels.where(~held_out() & (F.col("quality") == 1)), "quality", POSITIVES, "quality").select("doc_id", F.lit(1).alias("p"))
     web = sample_of_each(docs.where(~held_out()).select("doc_id", F.lit(0).alias("p")), "p", UNLABELLED, "web")
     ids = good.unionAll(web).groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
     # A positive may also be drawn as web text: p and u say in which sets a document is.
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     made = scored("text", "f array<double>", lambda: lambda batch: pd.DataFrame({"f": [features(t) for t in batch]}))
-    rows = sample.select("doc_id", "p", "u", made.alias("r")).select("doc_id", "p", "u", "r.f").orderBy("doc_id").collect()
+    rows = sample.select("doc_id", "p", "u", made.alias("r")).select("doc_id", "p", "u", "r.f").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.f))  # a bounded sample; sorting it in Spark would compute the features twice
     positive, unlabelled = np.array([r.f for r in rows if r.p == 1]), np.array([r.f for r in rows if r.u == 0])
     return fit(positive, unlabelled) if len(positive) and len(unlabelled) else None
 
 
 def score(text_col: str | Column, model: Model | None) -> Column:
-    """A struct of score, the probability of good quality; a null text scores like an empty one, and 0.5 without a model."""
+    """A struct of score, the probability of good quality; a null text scores like an empty one, every text 0.5 without a model.
+    Whole texts count, whatever their length; equal texts score alike."""
 
     def load():
         def run(batch: pd.Series) -> pd.DataFrame:

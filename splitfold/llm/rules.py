@@ -1,19 +1,23 @@
 """Quality rules as a short-circuit cascade, with DataFrame operations only.
 
-A rule rejects a document by a condition and names its work: an expression of what evaluating it costs for a row. On a
-sample, each rule's mean work and share of rejections are estimated; the cascade then evaluates rules in order of rejections
-per work and stops at the first that rejects. The order changes the time it takes, never the verdict.
+A rule rejects a document by a condition. On a sample, each rule's cost is measured, by the time it takes over the sample's rows,
+or taken from the work that the rule states. The cascade is ordered greedily: next comes the rule that rejects most, of the rows
+that no rule before it rejects, per cost. For each document it stops at the first rule that rejects. The order changes the
+time it takes, never the verdict.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows on which work and rejections are estimated; they decide the order of rules only.
-SAMPLE_ROWS = 1000
+from splitfold.llm.common import columns_of, cut, fresh
+
+#: Rows on which costs and rejections are estimated, about, and how often a rule is timed on each; they decide the order only.
+SAMPLE_ROWS, TIMES = 1000, 20
 SPACE, SYMBOL = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 WINDOW = 8
 
@@ -22,7 +26,7 @@ WINDOW = 8
 class Rule:
     name: str
     rejects: Column
-    work: Column
+    work: Column | None = None  # measured if not given
 
 
 def let(value: Column, body) -> Column:
@@ -43,14 +47,16 @@ def _repeated(w: Column) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (all long); null counts as empty."""
+    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (all long); null counts as empty.
+    Columns of docs with these names are replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words, lines = F.array_remove(F.split(text, SPACE, -1), ""), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.concat_ws("", w)).alias("chars"), _repeated(w).alias("repeat")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))
-    df = docs.withColumns({"_w": of_words, "_l": of_lines, "_s": F.length(F.regexp_replace(text, SYMBOL, ""))})
-    made = {"n_words": F.col("_w.n"), "word_chars": F.col("_w.chars"), "n_symbols": F.col("_s"), "n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.n") - F.col("_l.distinct"), "n_repeat_words": F.col("_w.repeat")}
-    return df.select(*docs.columns, *(c.cast("long").alias(k) for k, c in made.items()))
+    w, x, s = fresh("words"), fresh("lines"), fresh("symbols")
+    df = docs.withColumns({w: of_words, x: of_lines, s: F.length(F.regexp_replace(text, SYMBOL, ""))})
+    made = {"n_words": F.col(f"{w}.n"), "word_chars": F.col(f"{w}.chars"), "n_symbols": F.col(s), "n_lines": F.col(f"{x}.n"), "n_dup_lines": F.col(f"{x}.n") - F.col(f"{x}.distinct"), "n_repeat_words": F.col(f"{w}.repeat")}
+    return df.select(*(c for n, c in zip(docs.columns, columns_of(docs), strict=True) if n not in made), *(c.cast("long").alias(k) for k, c in made.items()))
 
 
 def base_failed() -> Column:
@@ -59,31 +65,51 @@ def base_failed() -> Column:
 
 def default_rules(text_col: str = "text") -> list[Rule]:
     """Rules over features() and the text; each fails only documents that are plainly junk."""
-    text, one = F.coalesce(F.col(text_col), F.lit("")), F.lit(1.0)
-    scan = F.length(text).cast("double")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     upper = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
     lower = F.length(F.regexp_replace(text, "[^a-z]+", ""))
     return [
-        Rule("symbols", 5 * F.col("n_symbols") > F.col("n_words"), one),
-        Rule("duplicate_lines", (F.col("n_lines") >= 4) & (2 * F.col("n_dup_lines") > F.col("n_lines")), one),
-        Rule("word_length", (F.col("word_chars") > 25 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")), one),
-        Rule("exclamations", 2 * F.regexp_count(text, F.lit("!")) > F.col("n_words"), one + scan),
-        Rule("shouting", upper > 2 * lower, one + 2 * scan),
+        Rule("symbols", 5 * F.col("n_symbols") > F.col("n_words")),
+        Rule("duplicate_lines", (F.col("n_lines") >= 4) & (2 * F.col("n_dup_lines") > F.col("n_lines"))),
+        Rule("word_length", (F.col("word_chars") > 25 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
+        Rule("exclamations", 2 * F.regexp_count(text, F.lit("!")) > F.col("n_words")),
+        Rule("shouting", upper > 2 * lower),
     ]
 
 
-def order(rows: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """rules by estimated rejections per work on at most SAMPLE_ROWS rows, largest first; ties keep their order.
+def order(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """rules by estimated rejections per cost on the rows of sample, which must be few; ties keep their order."""
+    if len(rules) < 2:
+        return list(rules)
+    stated = [F.lit(0.0) if r.work is None else r.work for r in rules]
+    asked = [f for k, r in enumerate(rules) for f in (F.coalesce(r.rejects, F.lit(False)).alias(f"s{k}"), stated[k].cast("double").alias(f"w{k}"))]
+    rows = sample.select(*asked).collect()
+    again = sample.withColumn(fresh("time"), F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
+
+    def seconds(rule: Rule) -> float:
+        began = time.perf_counter()
+        again.agg(F.count(F.when(rule.rejects, 1))).collect()
+        return time.perf_counter() - began
+
+    measured = [r for r in rules if r.work is None]
+    if measured:
+        seconds(measured[0])  # compiles what all share
+    cost = {k: seconds(r) if r.work is None else sum(row[f"w{k}"] or 0.0 for row in rows) / max(1, len(rows)) for k, r in enumerate(rules)}
+    left, out = list(range(len(rules))), []
+    while left:
+        best = min(left, key=lambda k: -sum(row[f"s{k}"] for row in rows) / max(cost[k], 1e-9))
+        rows = [row for row in rows if not row[f"s{best}"]]
+        left.remove(best)
+        out.append(rules[best])
+    return out
 
-    The rows are taken as they come: Spark reads no more partitions than it needs for them, and none are shuffled.
-    """
-    if not rules:
-        return []
-    asked = [f for k, r in enumerate(rules) for f in (F.coalesce(r.rejects, F.lit(False)).cast("double").alias(f"s{k}"), r.work.alias(f"w{k}"))]
-    sample = rows.select(*asked).limit(SAMPLE_ROWS).collect()
-    total = lambda c: sum(r[c] or 0.0 for r in sample)
-    rank = lambda k: -total(f"s{k}") / max(total(f"w{k}"), 1e-9)
-    return [rules[k] for k in sorted(range(len(rules)), key=rank)]
+
+def sampled(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """About SAMPLE_ROWS rows of all parts of docs, with features(), without those that fail the base checks; written to the
+    shared folder. Features are computed for drawn rows only."""
+    total = docs.count()
+    drawn = docs.select(text_col).sample(min(1.0, SAMPLE_ROWS / max(1, total)), 7)
+    return cut(features(drawn, text_col).where(~base_failed()).coalesce(8))
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -98,11 +124,11 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "te
     """docs with features(), base_failed and kept: false if the base checks fail, else whether no rule rejects.
 
     Null and empty texts have no words and fail the base checks; repeated rows are judged alike; an empty table gives no
-    rows. docs must not have columns named like the features.
+    rows. Columns of docs named like the features, base_failed or kept are replaced; the others stay, whatever their names.
     """
     rules = default_rules(text_col) if rules is None else rules
     with_features = features(docs, text_col)
-    rules = order(features(docs.select(text_col), text_col), rules)
+    rules = order(sampled(docs, text_col), rules) if len(rules) > 1 else rules
     df = with_features.withColumn("base_failed", base_failed())
     return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(rules).isNull()))
 

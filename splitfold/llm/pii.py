@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import cut
+from splitfold.llm.common import columns_of, cut, fresh, row_key
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns. They match as [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and so on do, but a run of
@@ -168,7 +168,7 @@ def classifier(spans: DataFrame, posteriors: DataFrame) -> DataFrame:
     There are at most 4 * 3**5 * 36 patterns, whatever the input.
     """
     patterns = spans.where("kind IS NOT NULL").groupBy("kind", "votes", "shape").agg(F.count("*").cast("double").alias("n"))
-    soft = cut(patterns.join(F.broadcast(posteriors), ["kind", "votes"]))
+    soft = cut(patterns.join(F.broadcast(posteriors), ["kind", "votes"]).coalesce(1))
     features = F.array(*(F.concat(F.lit(f"{i}:"), F.substring("votes", i + 1, 1)) for i in range(len(LABELERS))), F.concat(F.lit("d:"), F.substring("shape", 1, 1)), F.concat(F.lit("l:"), F.substring("shape", 2, 1)))
     long = soft.select("kind", "votes", "shape", "n", "p", F.explode(F.filter(features, lambda f: ~f.rlike("^[0-9]:0$"))).alias("f"))
     totals = soft.groupBy("kind").agg(F.sum(F.col("n") * F.col("p")).alias("ty"), F.sum(F.col("n") * (1 - F.col("p"))).alias("tn"))
@@ -183,7 +183,8 @@ def accepted(spans: DataFrame) -> DataFrame:
 
     A span the strict regex labeler rejects is never accepted: it matched a base pattern and failed that pattern's check.
     """
-    model = F.broadcast(cut(classifier(spans, cut(reliabilities(spans)))))
+    # Both tables have a bounded number of rows, so one task each is enough to write them.
+    model = F.broadcast(cut(classifier(spans, cut(reliabilities(spans).coalesce(1))).coalesce(1)))
     judged = spans.join(model, ["kind", "votes", "shape"], "left")
     return judged.where("kind IS NULL OR valid OR (score > 0 AND substring(votes, 1, 1) <> '2')")
 
@@ -212,16 +213,17 @@ def digests(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of text replaced by its kind in angle brackets; of spans that overlap, the first names the place.
 
-    n_chars, where docs has it, is counted anew. Rows are matched by doc_id and a hash of the text, so rows that share an id
-    are masked each by its own spans. A null text stays null.
+    n_chars, where docs has it, is counted anew. Rows are matched by id and text together, so rows that share an id are masked
+    each by its own spans. A null text stays null; all rows and columns stay, whatever the columns' names.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = detect(keyed, ["_key"]).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.first("spans").alias("_spans"))
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    key, spans = fresh("key"), fresh("spans")
+    keyed = docs.withColumn(key, row_key())
+    found = detect(docs.select("doc_id", "text", row_key().alias("key")), ["key"]).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("key").alias(key)).agg(F.first("spans").alias(spans))
+    joined = keyed.join(found, key, "left")
     text = F.col("text")
     piece = lambda a, s: F.when(s["start"] >= a["at"], F.struct(F.array_append(a["out"], F.concat(F.substring(text, a["at"] + 1, s["start"].cast("int") - a["at"]), F.lit("<"), s["kind"], F.lit(">"))).alias("out"), s["end"].cast("int").alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"].cast("int")).alias("at")))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate("_spans", start, piece, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(masked)).select(*docs.columns)
+    masked = F.aggregate(spans, start, piece, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    out = joined.withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(masked)).select(*columns_of(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitfold.llm.common import bounded_sample, cut, scored
+from splitfold.llm.common import bounded_sample, cut, fresh, scored
 from splitfold.shipping import ship
 
 #: Labelled rows of each class that the model is fitted on, at most; learned stems, and learned words, at most; harmless words, at most.
@@ -289,7 +289,8 @@ def fit_hits(x: np.ndarray, unseen: np.ndarray, y: np.ndarray) -> tuple[np.ndarr
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learns stems, words and weights from at most SAMPLE_PER_CLASS labelled, learnable documents of each class.
 
-    With one class only, or none, the lexicon's default weights hold.
+    With one class only, or none, the lexicon's default weights hold. Of repeated rows each counts, while their id is drawn once;
+    null ids teach nothing; only doc_id, text and the label are read, whatever other columns there are.
     """
     ids = bounded_sample(labels, label, SAMPLE_PER_CLASS)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label"))
@@ -326,6 +327,7 @@ def score(text_col: str | Column, model: Model) -> Column:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs whose text scores below the threshold; all columns stay."""
-    name = "_score_of_text"
+    """docs whose text scores below the threshold; all columns stay, whatever their names. Null and empty texts have no hits and
+    stay unless all texts without hits go; repeated rows share their fate."""
+    name = fresh("score")
     return docs.withColumn(name, score("text", model)).where(F.col(f"{name}.score") < threshold).drop(name)

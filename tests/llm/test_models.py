@@ -78,6 +78,84 @@ def test_models_on_odd_rows(spark):
         assert len(out) == n and all(0 <= r.r.score <= 1 for r in out)
 
 
+def test_repeated_rows_leave_samples_as_large(spark):
+    from splitfold.llm.common import sample_of_each
+
+    once = spark.range(400).selectExpr("id AS doc_id", "if(id % 4 = 0, 'a', 'b') AS c")
+    many = once.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    for rows in (once, many.drop("again")):
+        got = sample_of_each(rows, "c", 50, "s").groupBy("c").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).collect()
+        assert sorted(map(tuple, got)) == [("a", 50, 50), ("b", 50, 50)]
+    assert sample_of_each(once, "c", 1000, "s").count() == 400
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(9)
+    names = [f"l{k:03d}" for k in range(300)]
+    alphabets = {n: [chr(0x400 + int(x)) for x in rng.integers(0, 4000, 12)] for n in names}
+    say = lambda n: " ".join("".join(rng.choice(alphabets[n], 5)) for _ in range(6))
+    rows = [(k, say(names[k % 300]), names[k % 300]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.languages == names
+    got = df.select("lang", langid.predict("text", model).alias("r")).collect()
+    assert len({r.r.lang_pred for r in got}) > 290 and sum(r.r.lang_pred == r.lang for r in got) > 0.95 * len(got)
+
+
+def test_sparse_logits_equal_dense_ones():
+    rng = np.random.default_rng(1)
+    w = np.where(rng.random((50, 7)) < 0.3, rng.normal(size=(50, 7)), 0)
+    m = langid.sparse(list("abcdefg"), np.ones(50), w, np.arange(7.0))
+    f, x = np.array([0, 3, 17, 49]), rng.random(4)
+    assert np.allclose(m.logits(f, x), x @ w[f] + np.arange(7), atol=1e-5)
+
+
+def test_tfidf_and_a_step_of_ftrl_by_hand(spark):
+    texts = ["aab", "ab", "b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    idf = langid.inverse_frequencies(df)
+    grams = lambda t: {(" " + t + " ")[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)}
+    f, n = langid.counts("aab")
+    assert n.sum() == 5 + 4 + 3 and len(f) == len(grams("aab"))
+    shared = sum("a" in grams(t) for t in texts)
+    assert np.isclose(sorted(set(idf[f].round(9)))[0], np.log(4 / 4) + 1) and np.isclose(np.log(4 / (1 + shared)) + 1, idf[f]).any()
+    x = langid.tfidf(f, n, idf)
+    assert np.isclose((x * x).sum(), 1) and np.allclose(x / x[0], (1 + np.log(n)) * idf[f] / ((1 + np.log(n[0])) * idf[f[0]]))
+    was, langid.EPOCHS = langid.EPOCHS, 1
+    try:
+        w, bias = langid.ftrl([(np.array([4]), np.array([1.0]), 1)], 2)
+    finally:
+        langid.EPOCHS = was
+    g = np.array([0.5, -0.5])  # softmax of zeros less the label
+    z = g - np.abs(g) / langid.ALPHA * 0
+    want = -(z - np.sign(z) * langid.L1) / ((langid.BETA + np.abs(g)) / langid.ALPHA + langid.L2)
+    assert np.allclose(w[4], want) and np.allclose(bias, want) and not np.delete(w, 4, 0).any()
+
+
+def test_risk_is_not_negative_and_its_gradient_is_right():
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.normal(1.5, 1, (400, 3)), np.vstack([rng.normal(1.5, 1, (300, 3)), rng.normal(-1.5, 1, (700, 3))])
+    model = quality.fit(positive, unlabelled)
+    assert 0.2 < model.prior < 0.45
+    assert (model.scores(rng.normal(1.5, 1, (500, 3))) > 0.5).mean() > 0.85 and (model.scores(rng.normal(-1.5, 1, (500, 3))) < 0.5).mean() > 0.85
+
+
+def test_quality_features_by_hand():
+    f = dict(zip(quality.FEATURES, quality.features("Ab ab ab!\n\nx 12 #|\nx 12 #|"), strict=True))
+    assert np.isclose(f["words"], np.log1p(9)) and np.isclose(f["length"], (2 + 2 + 3 + 2 * 5) / 9) and np.isclose(f["upper"], 1 / 17)
+    assert np.isclose(f["digits"], 4 / 17) and np.isclose(f["top"], 2 / 9) and np.isclose(f["dup_lines"], 1 / 3) and f["again"] == 0
+    assert np.isclose(f["bangs"], np.log1p(100 / 9)) and np.isclose(f["bars"], np.log1p(200 / 9)) and np.isclose(f["symbols"], np.log1p(200 / 9))
+
+
+@pytest.mark.parametrize("name, label, recall, precision", [("op2_quality", "quality", 0.95, 0.95), ("op6_toxicity", "toxic", 0.85, 0.9)])
+def test_recall_and_precision_on_held_out_rows(spark, name, label, recall, precision):
+    sf = "/root/testdata/sf0.1"
+    label_of = {r["doc_id"]: r[label] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    got = [(r.predicted, label_of[r.doc_id]) for r in QUERIES[name](spark, sf).where("held_out").collect() if r.doc_id in label_of]
+    hit, said, true = sum(p == y == 1 for p, y in got), sum(p for p, _ in got), sum(y == 1 for _, y in got)
+    assert true > 50 and hit >= recall * true and hit >= precision * said
+
+
 def test_long_texts_have_the_same_ngrams_in_parts(monkeypatch):
     text = "".join(chr(97 + k * k % 23) for k in range(1000))
     whole = langid.counts(text)

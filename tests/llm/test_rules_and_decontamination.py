@@ -44,6 +44,17 @@ def test_rules_are_ordered_by_rejections_per_work(spark):
     assert [r.name for r in rules.order(df.limit(0), [costly, cheap])] == ["costly", "cheap"]
 
 
+def test_costs_are_measured_and_rejections_conditional(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(300).selectExpr("id", "id % 2 = 0 AS half", "id % 2 = 0 OR id = 1 AS more", "id % 10 = 1 AS tenth", "repeat('ab ', 3000) AS text").checkpoint()
+    slow = rules.Rule("slow", F.col("half") & (F.length(F.regexp_replace("text", "(a|b)+ ", "x")) > 0))
+    assert [r.name for r in rules.order(df, [slow, rules.Rule("quick", F.col("half"))])][0] == "quick"
+    one = F.lit(1.0)
+    chosen = rules.order(df, [rules.Rule("half", F.col("half"), one), rules.Rule("more", F.col("more"), one), rules.Rule("tenth", F.col("tenth"), one)])
+    assert [r.name for r in chosen] == ["more", "tenth", "half"]
+
+
 def words(t):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -68,6 +79,24 @@ def test_contamination_by_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_a_large_index_gives_the_same_rows(spark, monkeypatch):
+    items = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(16))) for k in range(12)] + [(99, "the common words")]
+    docs = [(k % 40, " ".join(f"w{(k * 7 + j) % 50}" for j in range(k % 30)) + " the" * (k % 4) + (" the common words" if k % 5 == 0 else "")) for k in range(120)] + [(1, None), (None, ""), (3, "the " * 2000)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.contamination(docs, items).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = docs.select(decontaminate.row_key().alias("key"), "doc_id", decontaminate.words(docs.text).alias("w")).selectExpr("key", "doc_id", "cast(size(w) AS bigint) AS n_words", "w")
+        index = decontaminate.prefixes(base.select("w"), decontaminate.windows(items)[0])
+        plan = decontaminate._met(base, index)._jdf.queryExecution().executedPlan().toString()
+        # Words are dealt by token and salt without the array of their document's words.
+        assert "hashpartitioning(token" in plan and sorted(map(tuple, decontaminate.contamination(docs, items).collect()), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_decontamination_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, token string")
     none = spark.createDataFrame([], "item_id long, text string")

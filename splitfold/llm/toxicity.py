@@ -242,7 +242,7 @@ def learned(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     stems = _longest({r.stem: r.evidence for r in found.collect()})
     hit = scored("stem", "k int", lambda: _kinds(Model(stems, words)))
     clean = whole.where((F.col("neg") >= HARMLESS_DOCS) & (F.col("odds") < HARMLESS_ODDS)).select("stem", "neg", hit.alias("hit"))
-    harmless = [r.stem for r in clean.where("hit.k > 1").orderBy(F.desc("neg"), "stem").limit(MAX_HARMLESS).collect()]
+    harmless = [r.stem for r in clean.where("hit.k > 1").select("stem", "neg").orderBy(F.desc("neg"), "stem").limit(MAX_HARMLESS).collect()]
     return stems, words, harmless
 
 

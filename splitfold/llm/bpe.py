@@ -24,7 +24,7 @@ from splitfold.llm.common import scored
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes of distinct pieces replayed together, and encoded pieces that a worker keeps.
-BLOCK_BYTES, KEEP = 4 << 20, 300_000
+BLOCK_BYTES, KEEP = 1 << 20, 100_000
 #: Index entries that a step takes at least; a larger index gives an eighth of its entries.
 STEP = 1 << 12
 #: Bytes from which a piece is replayed by lists. Tokens that are decoded at a time.
